@@ -139,10 +139,12 @@ def rates(msgs: DataFrame, gold: DataFrame, compared: DataFrame) -> DataFrame:
     )
 
 
-def labels(msgs: DataFrame, gold: DataFrame, preds: DataFrame, names: Sequence[str], w: int | None = WINDOW) -> DataFrame:
+def labels(
+    msgs: DataFrame, gold: DataFrame, preds: DataFrame, names: Sequence[str], w: int | None = WINDOW, limit: int | None = None
+) -> DataFrame:
     """(algorithm, conversation, pos, gc, pc): gold and predicted component of every message."""
-    g = components(msgs, in_window(gold, w) if w is not None else gold).withColumnRenamed("comp", "gc")
-    p = components(per_algorithm(msgs.select(*CONV, "pos"), names), preds, ALG).withColumnRenamed("comp", "pc")
+    g = components(msgs, in_window(gold, w) if w is not None else gold, limit=limit).withColumnRenamed("comp", "gc")
+    p = components(per_algorithm(msgs.select(*CONV, "pos"), names), preds, ALG, limit).withColumnRenamed("comp", "pc")
     return materialize(p.join(g, [*CONV, "pos"]).select(*ALG, "pos", "gc", "pc"), "labels")
 
 

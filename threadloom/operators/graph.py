@@ -1,14 +1,17 @@
 """Graph operators on edge tables, keyed by conversation.
 
-Everything is joins and aggregations on (keys, node); nothing gathers a conversation into one task.
-Long reply chains are resolved by pointer doubling, so the number of rounds grows with the
-logarithm of the longest chain.  Each round is written out, which cuts the lineage.
+Conversations of up to ``LOCAL_MSGS`` messages (the size is checked) are solved whole, one grouped
+task each and one exchange in all.  Larger ones are never gathered: they take joins and
+aggregations on (keys, node), where long reply chains are resolved by pointer doubling, so the
+number of rounds grows with the logarithm of the longest chain.  Each of those rounds is written
+out, which cuts the lineage.  Both ways give the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,80 @@ from threadloom.session import materialize
 
 Keys = Sequence[str]
 
+#: Largest conversation that one grouped task may hold.
+LOCAL_MSGS = 20_000
+
+
+def by_size(
+    nodes: DataFrame,
+    tables: Sequence[DataFrame],
+    keys: Keys,
+    limit: int | None,
+    local: Callable[..., DataFrame],
+    spread: Callable[..., DataFrame],
+) -> DataFrame:
+    """Send conversations of up to ``limit`` messages to ``local`` and the others to ``spread``."""
+    limit = LOCAL_MSGS if limit is None else limit
+    sizes = nodes.groupBy(*keys).count()
+    if sizes.where(F.col("count") > limit).isEmpty():
+        return local(nodes, *tables)
+    big = materialize(sizes.where(F.col("count") > limit).select(*keys), "big")
+    pick = lambda how: [d.join(big, list(keys), how) for d in (nodes, *tables)]
+    return local(*pick("left_anti")).unionByName(spread(*pick("left_semi")))
+
+
+def keyed_schema(df: DataFrame, keys: Keys, rest: str) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"{k} {types[k]}" for k in keys) + ", " + rest
+
+
+def solve(pdf: pd.DataFrame) -> tuple[dict, dict, dict]:
+    """Component, longest depth and path count of the nodes of one edge list (parent < child).
+
+    Negative parents restrict path starts: -1 marks its child as an allowed one.
+    """
+    pdf = pdf.sort_values(["child", "parent"])
+    free = bool((pdf["parent"] >= 0).all())
+    marks = set(pdf.loc[pdf["parent"] == -1, "child"])
+    real = pdf[pdf["parent"] >= 0]
+    comp: dict[int, int] = {}
+    deep: dict[int, int] = {}
+    ways: dict[int, float] = {}
+
+    def top(x: int) -> int:
+        while comp[x] != x:
+            comp[x] = comp[comp[x]]
+            x = comp[x]
+        return x
+
+    for child, parent in zip(real["child"].tolist(), real["parent"].tolist()):
+        if parent not in comp:
+            comp[parent], deep[parent] = parent, 0
+            ways[parent] = 1.0 if free or parent in marks else 0.0
+        if child not in comp:
+            comp[child], deep[child], ways[child] = child, 0, 0.0
+        deep[child] = max(deep[child], deep[parent] + 1)
+        ways[child] += ways[parent]
+        a, b = top(child), top(parent)
+        comp[max(a, b)] = min(a, b)
+    return {x: top(x) for x in comp}, deep, ways
+
+
+def _local_values(edges: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, pos, comp, depth, n_paths) of every node that has an edge."""
+    keys = list(keys)
+
+    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        comp, deep, ways = solve(pdf)
+        out = pd.DataFrame({"pos": list(comp), "comp": list(comp.values())})
+        out["depth"], out["n_paths"] = list(deep.values()), list(ways.values())
+        for k, v in zip(keys, key):
+            out.insert(0, k, v)
+        return out[[*keys, "pos", "comp", "depth", "n_paths"]]
+
+    schema = keyed_schema(edges, keys, "pos long, comp long, depth long, n_paths double")
+    return edges.select(*keys, "child", "parent").groupBy(*keys).applyInPandas(each, schema)
+
 
 def valid_edges(edges: DataFrame, keys: Keys = tuple(CONV)) -> DataFrame:
     """Distinct edges that point back in time (self links and forward links removed)."""
@@ -128,23 +205,66 @@ def _relax(
     return reps.join(known, [*keys, "rep"]).select(*keys, F.col("node").alias("pos"), "hops", "value")
 
 
-def depth(nodes: DataFrame, edges: DataFrame, keys: Keys = tuple(CONV), root: int = 0) -> DataFrame:
+def depth(
+    nodes: DataFrame, edges: DataFrame, keys: Keys = tuple(CONV), root: int = 0, limit: int | None = None
+) -> DataFrame:
     """Longest distance from a root: (keys, pos, depth); ``root`` is the depth given to roots."""
-    got = _relax(nodes, edges, keys, F.lit(0).cast("double"), F.col("value") + F.col("d") + 1, F.max)
-    return got.select(*keys, "pos", (F.col("value") + F.col("hops") + root).cast("long").alias("depth"))
 
+    def local(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        got = _local_values(edges, keys).select(*keys, "pos", "depth")
+        out = nodes.select(*keys, "pos").join(got, [*keys, "pos"], "left")
+        return out.withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")) + root)
+
+    def spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        got = _relax(nodes, edges, keys, F.lit(0).cast("double"), F.col("value") + F.col("d") + 1, F.max)
+        return got.select(*keys, "pos", (F.col("value") + F.col("hops") + root).cast("long").alias("depth"))
+
+    return by_size(nodes, [edges], keys, limit, local, spread)
 
-def path_counts(nodes: DataFrame, edges: DataFrame, keys: Keys = tuple(CONV), start: DataFrame | None = None) -> DataFrame:
+
+def path_counts(
+    nodes: DataFrame, edges: DataFrame, keys: Keys = tuple(CONV), start: DataFrame | None = None, limit: int | None = None
+) -> DataFrame:
     """Number of paths from a root (from ``start`` nodes only, if given) to every node, as DOUBLE."""
-    got = _relax(nodes, edges, keys, F.lit(1).cast("double"), F.col("value"), F.sum, start)
-    return got.select(*keys, "pos", F.col("value").alias("n_paths"))
+
+    def local(nodes: DataFrame, edges: DataFrame, *starts: DataFrame) -> DataFrame:
+        rows, one = edges.select(*keys, "child", "parent"), F.lit(1.0)
+        out = nodes.select(*keys, "pos")
+        if starts:
+            ok = starts[0].select(*keys, "pos")
+            mark = lambda v: F.lit(v).cast("long").alias("parent")
+            # -1 names an allowed start; -2 only says that starts are restricted at all
+            rows = rows.unionByName(ok.select(*keys, F.col("pos").alias("child"), mark(-1)))
+            rows = rows.unionByName(edges.select(*keys).distinct().select(*keys, F.lit(-1).cast("long").alias("child"), mark(-2)))
+            out = out.join(ok.withColumn("_ok", F.lit(1.0)), [*keys, "pos"], "left")
+            one = F.coalesce("_ok", F.lit(0.0))
+        got = _local_values(rows, keys).select(*keys, "pos", "n_paths")
+        out = out.join(got, [*keys, "pos"], "left")
+        return out.select(*keys, "pos", F.coalesce("n_paths", one).alias("n_paths"))
+
+    def spread(nodes: DataFrame, edges: DataFrame, *starts: DataFrame) -> DataFrame:
+        got = _relax(nodes, edges, keys, F.lit(1).cast("double"), F.col("value"), F.sum, starts[0] if starts else None)
+        return got.select(*keys, "pos", F.col("value").alias("n_paths"))
+
+    return by_size(nodes, [edges] if start is None else [edges, start], keys, limit, local, spread)
 
 
 # ---------------------------------------------------------------- components
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: Keys = tuple(CONV)) -> DataFrame:
-    """Weakly connected components: (keys, pos, comp) with comp = smallest position inside.
+def components(nodes: DataFrame, edges: DataFrame, keys: Keys = tuple(CONV), limit: int | None = None) -> DataFrame:
+    """Weakly connected components: (keys, pos, comp) with comp = smallest position inside."""
+
+    def local(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        got = _local_values(edges, keys).select(*keys, "pos", "comp")
+        out = nodes.select(*keys, "pos").join(got, [*keys, "pos"], "left")
+        return out.withColumn("comp", F.coalesce("comp", "pos"))
+
+    return by_size(nodes, [edges], keys, limit, local, lambda n, e: _components(n, e, keys))
+
+
+def _components(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFrame:
+    """Components by hooking and doubling.
 
     Each round every label hooks onto its smallest neighbour and pointers are doubled to their end;
     edges between merged labels disappear.  Labels at least halve per round.
@@ -178,11 +298,38 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Keys = tuple(CONV)) ->
 # ---------------------------------------------------------------- closures
 
 
-def closure(edges: DataFrame, keys: Keys = tuple(CONV)) -> DataFrame:
-    """All (node, anc) pairs with the length of the shortest and longest... kept simple: pairs only.
+def closure(nodes: DataFrame, edges: DataFrame, keys: Keys = tuple(CONV), limit: int | None = None) -> DataFrame:
+    """All (node, anc) pairs, once each; the output is as large as the answer."""
+    return by_size(nodes, [edges], keys, limit, lambda n, e: _local_closure(e, keys), lambda n, e: _closure(e, keys))
 
-    The pair table is doubled until it stops growing; the output is as large as the answer.
-    """
+
+def ancestor_bits(children: list[int], parents: list[int]) -> dict[int, int]:
+    """Ancestor sets as bit masks over positions; edges must come sorted by child."""
+    bits: dict[int, int] = {}
+    for child, parent in zip(children, parents):
+        bits[child] = bits.get(child, 0) | bits.get(parent, 0) | (1 << parent)
+    return bits
+
+
+def _local_closure(edges: DataFrame, keys: Keys) -> DataFrame:
+    keys = list(keys)
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("child")
+        rows = []
+        for node, mask in ancestor_bits(pdf["child"].tolist(), pdf["parent"].tolist()).items():
+            while mask:
+                low = mask & -mask
+                rows.append((*key, node, low.bit_length() - 1))
+                mask ^= low
+        return pd.DataFrame(rows, columns=[*keys, "node", "anc"])
+
+    schema = keyed_schema(edges, keys, "node long, anc long")
+    return edges.select(*keys, "child", "parent").groupBy(*keys).applyInPandas(solve, schema)
+
+
+def _closure(edges: DataFrame, keys: Keys) -> DataFrame:
+    """Double the pair table until it stops growing."""
     pairs = materialize(edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("anc")).distinct(), "closure")
     size = pairs.count()
     while True:
@@ -238,18 +385,30 @@ def is_ancestor(pairs: DataFrame, ptr_edges: DataFrame, keys: Keys = tuple(CONV)
 # ---------------------------------------------------------------- cycles
 
 
-def on_or_into_cycle(ptr: DataFrame, keys: Keys = tuple(CONV)) -> DataFrame:
+def cyclic(ptr: DataFrame, keys: Keys = tuple(CONV)) -> DataFrame:
     """Nodes of a one-pointer-per-node graph (node -> up) that never reach an end.
 
-    A walk without a cycle ends after fewer hops than there are pointers, so pointers are doubled
-    that often; whoever still has a pointer afterwards runs into a cycle.
+    (keys, node, lowest) with the smallest node met on the way.  A walk without a cycle ends after
+    fewer hops than there are pointers, so pointers are doubled that often; whoever still has a
+    pointer afterwards runs into a cycle.
     """
-    cur = materialize(ptr.select(*keys, "node", "up"), "cycle")
+    cur = materialize(ptr.select(*keys, "node", "up", F.col("node").alias("lowest")), "cycle")
     longest = cur.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     span = 1
     while span <= longest and not cur.isEmpty():
-        onward = cur.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"))
+        onward = cur.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"), F.col("lowest").alias("low2"))
         # a pointer onto a node without pointer has reached the end and drops out
-        cur = materialize(cur.join(onward, [*keys, "up"]).select(*keys, "node", F.col("up2").alias("up")), "cycle")
+        hop = cur.join(onward, [*keys, "up"])
+        cur = materialize(hop.select(*keys, "node", F.col("up2").alias("up"), F.least("lowest", "low2").alias("lowest")), "cycle")
         span *= 2
-    return cur.select(*keys, "node").distinct()
+    return cur.select(*keys, "node", "lowest")
+
+
+def break_cycles(ptr: DataFrame, keys: Keys = tuple(CONV)) -> DataFrame:
+    """Turn nodes into roots, in order of position, until no walk meets a cycle: pointers kept.
+
+    Going through the nodes in order, a node is cut exactly if its walk runs into a cycle and no
+    smaller node lies on that walk (a smaller one would have been cut before).
+    """
+    cut = cyclic(ptr, keys).where("node = lowest").select(*keys, "node")
+    return ptr.join(cut, [*keys, "node"], "left_anti")

@@ -50,7 +50,7 @@ m0 AS (
          '<@' || CAST(json_extract(props, '$.k') AS VARCHAR) || '> ' || event_type || ' <@'
            || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '>' AS text
   FROM events),
-msgs AS (
+msgs AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ts_us, msg_id) - 1 AS pos FROM m0)"""
 
 
@@ -71,7 +71,7 @@ ask_{name} AS (
 
 
 GOLD = lookup_sql("look24", 24, False, 0) + """,
-gold AS (SELECT DISTINCT dataset, conv_id, child, parent FROM look24 WHERE parent IS NOT NULL)"""
+gold AS MATERIALIZED (SELECT DISTINCT dataset, conv_id, child, parent FROM look24 WHERE parent IS NOT NULL)"""
 
 PREDS = """
 preds AS (
