@@ -10,6 +10,8 @@ MENTION = r"<@([^>|@\]\n]{1,60})>"
 MENTION_LOOSE = r"<@([^>]+)>"
 ADDRESS = r"^([A-Za-z0-9_\|\-\{\}\[\]\^`]+)\s*[:,]"
 HASH_BUCKETS = 20000
+# Fixed value: what counts as white space between words.
+BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _c(col: str | Column) -> Column:
@@ -28,7 +30,7 @@ def addressee(text: str | Column) -> Column:
 
 
 def squeeze(text: str | Column) -> Column:
-    return F.regexp_replace(F.lower(_c(text)), r"\s+", "")
+    return F.regexp_replace(F.lower(_c(text)), BLANKS + "+", "")
 
 
 def grams(text: str | Column) -> Column:
@@ -50,8 +52,7 @@ def md5_bucket(value: str | Column, buckets: int = HASH_BUCKETS) -> Column:
 
 def words(text: str | Column) -> Column:
     """Lower-cased white-space separated words."""
-    t = F.regexp_replace(F.lower(_c(text)), r"^\s+|\s+$", "")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
+    return F.filter(F.split(F.lower(_c(text)), BLANKS + "+"), lambda w: w != "")
 
 
 def token_overlap(a: Column, b: Column) -> Column:
@@ -65,16 +66,23 @@ def speaker(name: str | Column) -> Column:
     return F.lower(F.trim(_c(name)))
 
 
-# The named and numeric entities that are decoded.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&#x2F;", "/"), ("&nbsp;", " "), ("&amp;", "&")]
+def unescape(text: Column) -> Column:
+    """Decode HTML character references (Arrow batches; the full table is the standard library's)."""
+    import html
 
+    import pandas as pd
 
-def strip_html(html: str | Column) -> Column:
-    """Tags become blanks, entities are decoded, runs of blanks are squeezed."""
-    out = F.regexp_replace(_c(html), r"<[^>]+>", " ")
-    for entity, plain in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    @F.pandas_udf("string")
+    def decode(batch: pd.Series) -> pd.Series:
+        return batch.map(html.unescape, na_action="ignore")
+
+    return decode(text)
+
+
+def strip_html(markup: str | Column) -> Column:
+    """Tags become blanks, character references are decoded, runs of blanks are squeezed."""
+    plain = unescape(F.regexp_replace(_c(markup), r"<[^>]+>", " "))
+    return F.regexp_replace(F.regexp_replace(plain, BLANKS + "+", " "), "^ | $", "")
 
 
 def pseudonym(author: str | Column, salt: str) -> Column:

@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from threadloom.plans import edges, graphs  # noqa: F401
+from threadloom.plans import edges, graphs, scoring, shaping  # noqa: F401
 from threadloom.plans.registry import ORACLES, QUERIES  # noqa: F401
