@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,21 +36,34 @@ def squeeze(text: str | Column) -> Column:
     return F.regexp_replace(F.lower(_c(text)), BLANKS + "+", "")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body`` (lambdas would repeat it per element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def grams(text: str | Column) -> Column:
     """Distinct character trigrams of the lower-cased text without white space."""
-    t = squeeze(text)
-    long = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))
-    return F.when(F.length(t) >= 3, long).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+
+    def cut(chars: Column) -> Column:
+        n = F.size(chars)
+        three = lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2))
+        whole = F.filter(F.array(F.array_join(chars, "")), lambda s: s != "")
+        return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 3), three))).otherwise(whole)
+
+    return let(F.split(squeeze(text), ""), cut)
 
 
 def md5_bucket(value: str | Column, buckets: int = HASH_BUCKETS) -> Column:
     """md5 as a 128-bit number modulo ``buckets``, from four 32-bit parts (stays in BIGINT)."""
-    digest = F.md5(_c(value))
-    out = F.lit(0).cast("long")
-    for part in range(4):
-        word = F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("long")
-        out = F.pmod(out * (2**32 % buckets) + word, F.lit(buckets))
-    return out
+
+    def fold(digest: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for part in range(4):
+            word = F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("long")
+            out = F.pmod(out * (2**32 % buckets) + word, F.lit(buckets))
+        return out
+
+    return let(F.md5(_c(value)), fold)
 
 
 def words(text: str | Column) -> Column:
@@ -68,10 +84,6 @@ def speaker(name: str | Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Decode HTML character references (Arrow batches; the full table is the standard library's)."""
-    import html
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(batch: pd.Series) -> pd.Series:
         return batch.map(html.unescape, na_action="ignore")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import HASH_BUCKETS, grams, md5_bucket
+from threadloom.functions.text import HASH_BUCKETS, grams
 
 DIM = 64
 
@@ -22,31 +23,36 @@ def projection(seed: int = 42, dim: int = DIM) -> np.ndarray:
     return (draw / np.sqrt(dim)).astype(np.float32)
 
 
-def buckets(text: str | Column) -> Column:
-    """Bucket numbers of the distinct trigrams of a text."""
-    return F.transform(grams(text), lambda g: md5_bucket(g))
+@lru_cache(maxsize=1_000_000)
+def bucket(gram: str) -> int:
+    return int(hashlib.md5(gram.encode()).hexdigest(), 16) % HASH_BUCKETS
 
 
-def hash_vector(bucket_ids: Column, seed: int = 42) -> Column:
-    """Unit vector of the summed projection rows; the zero vector for an empty text."""
+def hash_vectors(df: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """(keys, vec): unit vector of the summed projection rows of the trigrams of ``text``.
 
-    @F.pandas_udf("array<float>")
-    def embed(batch: pd.Series) -> pd.Series:
+    Trigrams are cut on the JVM side; a text without any gets the zero vector.
+    """
+    keys = list(keys)
+
+    def embed(batches):
         table = projection(seed)
-        out = []
-        for ids in batch:
-            v = table[np.asarray(ids, dtype=np.int64)].sum(axis=0) if len(ids) else np.zeros(table.shape[1], np.float32)
-            n = float(np.linalg.norm(v))
-            out.append(v / n if n > 0 else v)
-        return pd.Series(out)
+        for pdf in batches:
+            out = []
+            for found in pdf["_grams"]:
+                v = table[[bucket(g) for g in found]].sum(axis=0) if len(found) else np.zeros(table.shape[1], np.float32)
+                n = float(np.linalg.norm(v))
+                out.append(v / n if n > 0 else v)
+            yield pdf[keys].assign(vec=out)
 
-    return embed(bucket_ids)
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", vec array<float>"
+    return df.select(*keys, grams("text").alias("_grams")).mapInPandas(embed, schema)
 
 
 def with_hash_vector(msgs: DataFrame, seed: int = 42) -> DataFrame:
     """Attach ``vec``, computed once per distinct text."""
-    vecs = msgs.select("text").distinct().withColumn("vec", hash_vector(buckets("text"), seed))
-    return msgs.join(vecs, "text", "left")
+    return msgs.join(hash_vectors(msgs.select("text").distinct(), ["text"], seed), "text", "left")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.functions.vectors import buckets, hash_vector, with_hash_vector
+from threadloom.functions.vectors import hash_vectors, with_hash_vector
 from threadloom.operators import decode, pairs
 from threadloom.operators.normalize import positions
 from threadloom.plans import tables as t
@@ -128,7 +128,7 @@ def f02(spark, sf):
 @query("f03_hash_vectors")
 def f03(spark, sf):
     docs = tune(spark).read.parquet(f"{sf}/documents.parquet")
-    return docs.select("doc_id", hash_vector(buckets("text")).alias("vec"))
+    return hash_vectors(docs, ["doc_id"])
 
 
 TFIDF = f"""tok AS (SELECT conv_id::VARCHAR AS conv_id, pos, role, text, {WORDS} AS ws FROM
