@@ -19,9 +19,9 @@ M = f"WITH RECURSIVE {t.MSGS}"
 # single-parent gold: the first mention within 24 hours
 ONE = t.lookup_sql("look1", 24, True, 0) + ", one AS MATERIALIZED (SELECT DISTINCT dataset, conv_id, child, parent FROM look1 WHERE parent IS NOT NULL)"
 MO = f"{M}, {ONE}"
-UPWALK = """, up AS (SELECT dataset, conv_id, pos AS node, pos AS at, 0 AS hops FROM msgs
-  UNION ALL SELECT u.dataset, u.conv_id, u.node, g.parent, u.hops + 1 FROM up u JOIN one g ON u.conv_id = g.conv_id AND u.at = g.child),
-  gchain AS (SELECT dataset, conv_id, node AS pos, string_agg(at::VARCHAR, '>' ORDER BY hops DESC) AS chain, count(*) AS len FROM up GROUP BY ALL)"""
+UPWALK = """, up AS (SELECT dataset, conv_id, pos AS node, pos AS here, 0 AS hops FROM msgs
+  UNION ALL SELECT u.dataset, u.conv_id, u.node, g.parent, u.hops + 1 FROM up u JOIN one g ON u.conv_id = g.conv_id AND u.here = g.child),
+  gchain AS (SELECT dataset, conv_id, node AS pos, string_agg(here::VARCHAR, '>' ORDER BY hops DESC) AS chain, count(*) AS len FROM up GROUP BY ALL)"""
 
 
 def single_gold(spark, sf):
@@ -45,9 +45,9 @@ def m32(spark, sf):
 # every message points at the first message of the user it mentions first, wherever that is
 PTR = """, firsts AS (SELECT conv_id, author, min(pos) AS up FROM msgs GROUP BY ALL),
   ptr AS (SELECT m.dataset, m.conv_id, m.pos AS node, f.up FROM msgs m JOIN firsts f ON m.conv_id = f.conv_id AND m.m1 = f.author WHERE m.pos > 0),
-  orbit AS (SELECT dataset, conv_id, node, up AS at FROM ptr UNION SELECT o.dataset, o.conv_id, o.node, p.up FROM orbit o JOIN ptr p ON o.conv_id = p.conv_id AND o.at = p.node),
-  cyc AS (SELECT dataset, conv_id, node, least(node, min(at)) AS lowest FROM orbit GROUP BY dataset, conv_id, node
-    HAVING count(*) FILTER (NOT EXISTS (SELECT 1 FROM ptr p WHERE p.conv_id = orbit.conv_id AND p.node = orbit.at)) = 0)"""
+  orbit AS (SELECT dataset, conv_id, node, up AS here FROM ptr UNION SELECT o.dataset, o.conv_id, o.node, p.up FROM orbit o JOIN ptr p ON o.conv_id = p.conv_id AND o.here = p.node),
+  cyc AS (SELECT dataset, conv_id, node, least(node, min(here)) AS lowest FROM orbit GROUP BY dataset, conv_id, node
+    HAVING count(*) FILTER (NOT EXISTS (SELECT 1 FROM ptr p WHERE p.conv_id = orbit.conv_id AND p.node = orbit.here)) = 0)"""
 
 
 def pointers(spark, sf):
@@ -82,14 +82,14 @@ def w26(spark, sf):
 @query(
     "g09_anchor_prune",
     MP.replace("WITH ", "WITH RECURSIVE ", 1).replace("pairs AS (", "pairs AS MATERIALIZED (", 1).replace("  sc AS (", "  sc AS MATERIALIZED (", 1)
-    + """, b AS MATERIALIZED (SELECT dataset, conv_id, i, max(score) AS top, arg_max(c, score) AS arg FROM sc GROUP BY ALL),
-  e AS MATERIALIZED (SELECT dataset, conv_id, i AS child, c AS parent FROM sc WHERE score >= 0.45 UNION ALL SELECT dataset, conv_id, i, (SELECT min(c) FROM sc WHERE sc.conv_id = b.conv_id AND sc.i = b.i AND sc.score = b.top) FROM b WHERE top < 0.45),
+    + """, b AS MATERIALIZED (SELECT dataset, conv_id, i, max(score) AS top, arg_min(c, (-score, c)) AS arg FROM sc GROUP BY ALL),
+  e AS MATERIALIZED (SELECT dataset, conv_id, i AS child, c AS parent FROM sc WHERE score >= 0.45 UNION ALL SELECT dataset, conv_id, i, arg FROM b WHERE top < 0.45),
   a AS MATERIALIZED (SELECT dataset, conv_id, i AS child, c AS parent FROM sc WHERE score >= 0.7),
   dn AS (SELECT conv_id, child AS x FROM a UNION SELECT dn.conv_id, e.child FROM dn JOIN e ON dn.conv_id = e.conv_id AND dn.x = e.parent),
   upw AS (SELECT conv_id, parent AS x FROM a UNION SELECT upw.conv_id, e.parent FROM upw JOIN e ON upw.conv_id = e.conv_id AND upw.x = e.child),
   met AS (SELECT * FROM dn UNION SELECT * FROM upw),
-  lost AS (SELECT conv_id, i FROM b WHERE top < 0.7 AND conv_id IN (SELECT conv_id FROM a) AND (conv_id, i) NOT IN (SELECT (conv_id, x) FROM met))
-  SELECT * FROM e WHERE (conv_id, child) NOT IN (SELECT (conv_id, i) FROM lost)""",
+  lost AS (SELECT conv_id, i FROM b WHERE top < 0.7 AND conv_id IN (SELECT conv_id FROM a) AND NOT EXISTS (SELECT 1 FROM met WHERE met.conv_id = b.conv_id AND met.x = b.i))
+  SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM lost WHERE lost.conv_id = e.conv_id AND lost.i = e.child)""",
 )
 def g09(spark, sf):
     return ch.anchor_prune(t.messages(spark, sf), event_pairs(spark, sf))
@@ -166,7 +166,7 @@ def g16(spark, sf):
 
 
 # the theme of a message is the user it mentions first
-TH = ", th AS (SELECT dataset, conv_id, pos, m1 AS theme FROM msgs), asof AS (SELECT dataset, conv_id, pos AS child, coalesce(lag(pos) OVER (PARTITION BY conv_id, theme ORDER BY pos), -1) AS parent FROM th)"
+TH = ", th AS (SELECT dataset, conv_id, pos, m1 AS theme FROM msgs), thasof AS (SELECT dataset, conv_id, pos AS child, coalesce(lag(pos) OVER (PARTITION BY conv_id, theme ORDER BY pos), -1) AS parent FROM th)"
 SAP = ", sap AS (SELECT dataset, conv_id, pos AS child, CASE WHEN pos - lp <= 100 THEN lp ELSE pos - 1 END AS parent FROM (SELECT *, lag(pos) OVER (PARTITION BY conv_id, author ORDER BY pos) AS lp FROM msgs) WHERE pos > 0), pre AS (SELECT dataset, conv_id, pos AS child, pos - 1 AS parent FROM msgs WHERE pos > 0)"
 
 
@@ -185,7 +185,7 @@ def two(spark, sf):
     return [decode.filled(m, t.preds(spark, sf, [n])) for n in ("saprev", "prev1")]
 
 
-@query("j11_theme_asof", M + TH + " SELECT * FROM asof WHERE child > 0")
+@query("j11_theme_asof", M + TH + " SELECT * FROM thasof WHERE child > 0")
 def j11(spark, sf):
     return ch.theme_asof(themed(spark, sf))
 
@@ -195,7 +195,7 @@ def j12(spark, sf):
     return ch.recall_sizes(themed(spark, sf))
 
 
-@query("w15_majority", M + TH + SAP + " SELECT * FROM " + vote_sql("asof", "sap", "pre"))
+@query("w15_majority", M + TH + SAP + " SELECT * FROM " + vote_sql("thasof", "sap", "pre"))
 def w15(spark, sf):
     return decode.vote(ch.theme_asof(themed(spark, sf)), *two(spark, sf))
 
@@ -217,7 +217,7 @@ def w17(spark, sf):
     return got.select(*CONV, "child", F.when(F.col("miss"), F.lit(-1).cast("long")).otherwise(F.col("parent")).alias("parent"))
 
 
-@query("w18_recency_vote", M + TH + SAP + " SELECT * FROM " + vote_sql("pre", "sap", "asof") + " WHERE parent <> -1")
+@query("w18_recency_vote", M + TH + SAP + " SELECT * FROM " + vote_sql("pre", "sap", "thasof") + " WHERE parent <> -1")
 def w18(spark, sf):
     voted = decode.vote(two(spark, sf)[1], two(spark, sf)[0], ch.theme_asof(themed(spark, sf)))
     ptr = voted.where("parent <> -1").select(*CONV, F.col("child").alias("node"), F.col("parent").alias("up"))
@@ -227,7 +227,7 @@ def w18(spark, sf):
 RESTR = ", rs AS (SELECT s.dataset, s.conv_id, s.child, CASE WHEN s.parent = -1 OR s.child - s.parent <= 8 OR a.theme = b.theme THEN s.parent ELSE -1 END AS parent FROM sap s JOIN th a ON a.conv_id = s.conv_id AND a.pos = s.child JOIN th b ON b.conv_id = s.conv_id AND b.pos = s.parent)"
 
 
-@query("w19_agreement_vote", M + TH + SAP + RESTR + " SELECT * FROM " + vote_sql("rs", "pre", "asof"))
+@query("w19_agreement_vote", M + TH + SAP + RESTR + " SELECT * FROM " + vote_sql("rs", "pre", "thasof"))
 def w19(spark, sf):
     m = themed(spark, sf)
     sap, pre = two(spark, sf)
@@ -235,13 +235,13 @@ def w19(spark, sf):
 
 
 LAYERS = MO + UPWALK + f""", {t.PREDS},
-  pup AS (SELECT algorithm, dataset, conv_id, pos AS node, pos AS at, 0 AS hops FROM msgs, algs UNION ALL SELECT u.algorithm, u.dataset, u.conv_id, u.node, g.parent, u.hops + 1 FROM pup u JOIN preds g ON u.algorithm = g.algorithm AND u.conv_id = g.conv_id AND u.at = g.child),
+  pup AS (SELECT algorithm, dataset, conv_id, pos AS node, pos AS here, 0 AS hops FROM msgs, algs UNION ALL SELECT u.algorithm, u.dataset, u.conv_id, u.node, g.parent, u.hops + 1 FROM pup u JOIN preds g ON u.algorithm = g.algorithm AND u.conv_id = g.conv_id AND u.here = g.child),
   pl AS (SELECT algorithm, conv_id, node, count(*) AS len FROM pup GROUP BY ALL),
   gl AS (SELECT conv_id, node, count(*) AS len FROM up GROUP BY ALL),
-  sh AS (SELECT p.algorithm, p.conv_id, p.node, count(*) AS n FROM pup p JOIN up g ON p.conv_id = g.conv_id AND p.node = g.node AND p.at = g.at GROUP BY ALL),
+  sh AS (SELECT p.algorithm, p.conv_id, p.node, count(*) AS n FROM pup p JOIN up g ON p.conv_id = g.conv_id AND p.node = g.node AND p.here = g.here GROUP BY ALL),
   px AS (SELECT p.algorithm, p.conv_id, p.node, count(*) AS n, count(*) FILTER (pl.len - p.hops <= 1) AS n1, count(*) FILTER (pl.len - p.hops <= 2) AS n2, count(*) FILTER (pl.len - p.hops <= 3) AS n3
     FROM pup p JOIN pl ON pl.algorithm = p.algorithm AND pl.conv_id = p.conv_id AND pl.node = p.node JOIN gl ON gl.conv_id = p.conv_id AND gl.node = p.node
-    JOIN up g ON g.conv_id = p.conv_id AND g.node = p.node AND g.at = p.at AND gl.len - g.hops = pl.len - p.hops GROUP BY ALL),
+    JOIN up g ON g.conv_id = p.conv_id AND g.node = p.node AND g.here = p.here AND gl.len - g.hops = pl.len - p.hops GROUP BY ALL),
   cmpc AS (SELECT pl.algorithm, pl.conv_id, pl.node, gl.len AS gl, pl.len AS pl, coalesce(sh.n, 0) AS shared, (gl.len = pl.len AND coalesce(px.n, 0) = gl.len)::INT AS em,
       coalesce(px.n1, 0) AS n1, coalesce(px.n2, 0) AS n2, coalesce(px.n3, 0) AS n3
     FROM pl JOIN gl USING (conv_id, node) LEFT JOIN sh USING (algorithm, conv_id, node) LEFT JOIN px USING (algorithm, conv_id, node)),
