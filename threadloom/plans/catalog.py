@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from threadloom.plans import chaining, edges, graphs, profiles, reports, scoring, shaping  # noqa: F401
+from threadloom.plans import chaining, edges, graphs, ingest, profiles, reports, scoring, shaping  # noqa: F401
 from threadloom.plans.registry import ORACLES, QUERIES  # noqa: F401

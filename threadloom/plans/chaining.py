@@ -190,7 +190,7 @@ def j11(spark, sf):
     return ch.theme_asof(themed(spark, sf))
 
 
-@query("j12_recall_sizes", M + TH + """ SELECT a.dataset, a.conv_id, a.pos, 1 + least(a.pos, 8) + count(b.pos) AS n_candidates FROM th a LEFT JOIN th b ON a.conv_id = b.conv_id AND a.theme = b.theme AND b.pos < a.pos - 8 GROUP BY ALL""")
+@query("j12_recall_sizes", M + TH + """ SELECT a.dataset, a.conv_id, a.pos, 1 + least(a.pos, 8) + count(b.pos) AS n_candidates FROM th a LEFT JOIN th b ON a.conv_id = b.conv_id AND a.theme = b.theme AND b.pos < a.pos - 8 GROUP BY a.dataset, a.conv_id, a.pos""")
 def j12(spark, sf):
     return ch.recall_sizes(themed(spark, sf))
 
