@@ -99,8 +99,8 @@ def anchor_prune(nodes: DataFrame, scored: DataFrame, tau_hi: float = 0.70, tau_
     rows = scored.where(F.col("score") >= tau_lo).select(*CONV, "i", "c").unionByName(best.where(F.col("top") < tau_lo).select(*CONV, "i", F.col("arg").alias("c")))
     edges = materialize(rows.select(*CONV, F.col("i").alias("child"), F.col("c").alias("parent")), "prune")
     anchors = materialize(scored.where(F.col("score") >= tau_hi).select(*CONV, F.col("i").alias("child"), F.col("c").alias("parent")), "anchors")
-    down = reach(anchors.select(*CONV, F.col("child").alias("pos")), edges.select(*CONV, F.col("parent").alias("pos"), F.col("child").alias("to")))
-    up = reach(anchors.select(*CONV, F.col("parent").alias("pos")), edges.select(*CONV, F.col("child").alias("pos"), F.col("parent").alias("to")))
+    down = reach(nodes, anchors.select(*CONV, F.col("child").alias("pos")), edges.select(*CONV, F.col("parent").alias("pos"), F.col("child").alias("to")))
+    up = reach(nodes, anchors.select(*CONV, F.col("parent").alias("pos")), edges.select(*CONV, F.col("child").alias("pos"), F.col("parent").alias("to")))
     met = down.unionByName(up).distinct()
     weak = best.where(F.col("top") < tau_hi).select(*CONV, F.col("i").alias("child"))
     weak = weak.join(anchors.select(*CONV).distinct(), CONV, "left_semi")
@@ -108,8 +108,30 @@ def anchor_prune(nodes: DataFrame, scored: DataFrame, tau_hi: float = 0.70, tau_
     return edges.join(lost, [*CONV, "child"], "left_anti")
 
 
-def reach(seeds: DataFrame, steps: DataFrame) -> DataFrame:
-    """All nodes met from the seeds along ``pos -> to``; one round per hop, only new nodes go on."""
+def reach(nodes: DataFrame, seeds: DataFrame, steps: DataFrame, limit: int | None = None) -> DataFrame:
+    """All nodes met from the seeds along ``pos -> to`` steps: (conversation, pos)."""
+
+    def local(nodes: DataFrame, seeds: DataFrame, steps: DataFrame) -> DataFrame:
+        rows = steps.select(*CONV, "pos", "to").unionByName(seeds.select(*CONV, "pos", F.lit(-1).cast("long").alias("to")))
+        return rows.groupBy(*CONV).applyInPandas(_met, keyed_schema(rows, CONV, "pos long"))
+
+    return by_size(nodes, [seeds, steps], CONV, limit, local, lambda n, s, e: _spread_reach(s, e))
+
+
+def _met(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    onward = pdf[pdf["to"] >= 0].groupby("pos")["to"].agg(list).to_dict()
+    stack = pdf.loc[pdf["to"] < 0, "pos"].unique().tolist()
+    met = set(stack)
+    while stack:
+        for x in onward.get(stack.pop(), ()):
+            if x not in met:
+                met.add(x)
+                stack.append(x)
+    return pd.DataFrame([(*key, x) for x in met], columns=[*CONV, "pos"])
+
+
+def _spread_reach(seeds: DataFrame, steps: DataFrame) -> DataFrame:
+    """One round per hop; only new nodes go on."""
     seen = front = materialize(seeds.distinct(), "reach")
     while not front.isEmpty():
         nxt = front.join(steps, [*CONV, "pos"]).select(*CONV, F.col("to").alias("pos")).distinct()

@@ -88,8 +88,8 @@ def parse_gold_graph(line: str | Column) -> Column:
     pat = r"^\s*([^#:][^:]*):(\d+)\s+(\d+)"
     got = F.struct(
         F.regexp_extract(c, pat, 1).alias("name"),
-        F.try_to_number(F.regexp_extract(c, pat, 2), F.lit("999999999999")).cast("long").alias("child"),
-        F.try_to_number(F.regexp_extract(c, pat, 3), F.lit("999999999999")).cast("long").alias("parent"),
+        F.regexp_extract(c, pat, 2).try_cast("long").alias("child"),
+        F.regexp_extract(c, pat, 3).try_cast("long").alias("parent"),
     )
     return F.when(F.rlike(c, F.lit(pat)), got)
 
