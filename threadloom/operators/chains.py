@@ -95,6 +95,7 @@ def anchor_prune(nodes: DataFrame, scored: DataFrame, tau_hi: float = 0.70, tau_
     not met whose best score stays below ``tau_hi`` becomes a root.  Without anchors in a
     conversation nothing is pruned.
     """
+    scored = materialize(scored.select(*CONV, "i", "c", "score"), "scored")
     best = scored.groupBy(*CONV, "i").agg(F.max("score").alias("top"), F.max_by("c", F.struct(F.col("score"), -F.col("c"))).alias("arg"))
     rows = scored.where(F.col("score") >= tau_lo).select(*CONV, "i", "c").unionByName(best.where(F.col("top") < tau_lo).select(*CONV, "i", F.col("arg").alias("c")))
     edges = materialize(rows.select(*CONV, F.col("i").alias("child"), F.col("c").alias("parent")), "prune")
