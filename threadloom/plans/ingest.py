@@ -121,3 +121,34 @@ def a22(spark, sf):
     rest = nz.pending(p, done, ["dataset", "algorithm", "conv_id"])
     runs.write_table(rest, path)
     return spark.read.parquet(path).groupBy("dataset", "algorithm").agg(F.count("*").alias("n"))
+
+
+@query("f10_node_features", """WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+  SELECT 'turns' AS dataset, conv_id::VARCHAR AS conv_id, pos, round(ln(1 + len(string_split_regex(trim(text), '\\s+'))::DOUBLE), 6) AS log_words, round(pos::DOUBLE / greatest(n - 1, 1), 6) AS place,
+    contains(text, '?')::INT::DOUBLE AS question, contains(text, '!')::INT::DOUBLE AS exclaim, starts_with(trim(text), '@')::INT::DOUBLE AS at_start FROM x""")
+def f10(spark, sf):
+    from threadloom.functions.lines import node_features
+
+    got = node_features(t.turns(spark, sf), F.size(F.split(F.trim("text"), r"\s+")))
+    return got.withColumns({c: F.round(c, 6) for c in ("log_words", "place")})
+
+
+@query("f13_addressed_users", """WITH x AS (SELECT conv_id::VARCHAR AS conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role || '_' || (conv_id % 9) AS author FROM conversations),
+  l AS (SELECT *, lag(author) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM x)
+  SELECT 'turns' AS dataset, conv_id, pos, prev AS user FROM l WHERE prev IS NOT NULL""")
+def f13(spark, sf):
+    from threadloom.functions.lines import addressed_users
+
+    # every turn is taken to address the author before it, in brackets and with a colon
+    m = t.turns(spark, sf).withColumn("author", F.concat_ws("_", "author", (F.col("conv_id").cast("long") % 9).cast("string")))
+    before = m.select(*CONV, (F.col("pos") + 1).alias("pos"), F.col("author").alias("prev"))
+    said = m.join(before, [*CONV, "pos"], "left").withColumn("text", F.concat(F.lit("("), F.coalesce("prev", F.lit("-")), F.lit("): x")))
+    return addressed_users(said)
+
+
+@query("g11_thread_features")
+def g11(spark, sf):
+    from threadloom.operators.online import thread_features
+
+    m, g = t.messages(spark, sf), t.gold(spark, sf)
+    return thread_features(m, g, g.select(*CONV, F.col("child").alias("i"), F.col("parent").alias("c")))
