@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.llm.mixing import curriculum
+from threadloom.llm.near import near_duplicates
 from threadloom.llm.substrings import drop_repeated_passages
+from threadloom.llm.suffixes import drop_repeated_strings
 from threadloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +41,62 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     out = drop_repeated_passages(documents(spark, sf).select("msg_id", "text"))
     return out.select(F.col("msg_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query("op8_repeated_strings")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    out = drop_repeated_strings(documents(spark, sf).select("msg_id", "text"))
+    return out.select(F.col("msg_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept_bytes"), 256).alias("kept_sha256"))
+
+
+def cyclic_schedules(messages: DataFrame) -> DataFrame:
+    """Weights 1, 2, 3, repeating, over datasets by code point; every other dataset fades out, the rest fade in."""
+    rank = F.row_number().over(Window.orderBy(F.col("dataset").asc_nulls_last())) - 1  # one row a dataset
+    weight = (1 + rank % 3).cast("double")
+    fade = F.when(rank % 2 == 0, F.array(1.5 * weight, 0.5 * weight)).otherwise(F.array(0.5 * weight, 1.5 * weight))
+    return messages.select("dataset").distinct().select("dataset", fade.alias("weights"))
+
+
+@query(
+    "op3_mix_curriculum",
+    """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(concat_ws(':', '17', doc_id::VARCHAR)) AS k
+  FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM src),
+weighed AS (SELECT *, (1 + r % 3)::DOUBLE AS w, (3 * source_size)::DOUBLE AS cap FROM ranked),
+levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM src)::DOUBLE
+             - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+            / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+plan AS (SELECT *, least(cap, w * (SELECT max(level) FROM levels)) AS target,
+                CASE WHEN r % 2 = 0 THEN 1.5 * w ELSE 0.5 * w END AS w0,
+                CASE WHEN r % 2 = 0 THEN 0.5 * w ELSE 1.5 * w END AS w1 FROM levels),
+laid AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized),
+copies AS (
+  SELECT l.doc_id, l.size, p.*, l.before + e.e * p.source_size AS b,
+         least(greatest(floor(p.target)::BIGINT - (l.before + e.e * p.source_size), 0), l.size)::BIGINT AS words, e.e AS e
+  FROM laid l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source, (SELECT unnest([0, 1, 2]) AS e) e)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       sum(words)::BIGINT AS taken,
+       round(min(CASE WHEN words > 0 THEN
+         2 * ((b + words / 2) / target * (w0 + w1) / 2)
+           / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * ((b + words / 2) / target * (w0 + w1) / 2))) END), 9) AS position
+FROM copies GROUP BY doc_id, size, before, source
+""",
+)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    msgs = documents(spark, sf).select("msg_id", "dataset", "text")
+    out = curriculum(msgs, cyclic_schedules(msgs))
+    return out.select(F.col("msg_id").alias("doc_id"), "size", F.col("dataset_size").alias("source_size"), "target", "taken", F.round("position", 9).alias("position"))
+
+
+@query("op5_near_duplicates")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    out = near_duplicates(documents(spark, sf).select("msg_id", "text"), shingle=4)
+    return out.withColumnRenamed("msg_id", "doc_id")
