@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.llm.contamination import find_contamination
+from threadloom.llm.language import identify_languages, language_model
 from threadloom.llm.mixing import curriculum
 from threadloom.llm.near import near_duplicates
 from threadloom.llm.substrings import drop_repeated_passages
 from threadloom.llm.suffixes import drop_repeated_strings
+from threadloom.llm.tokens import token_counts
+from threadloom.llm.toxicity import score_toxicity, toxicity_model
 from threadloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +104,36 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf).select("msg_id", "text"), shingle=4)
     return out.withColumnRenamed("msg_id", "doc_id")
+
+
+@query("op1_language")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    held = F.crc32(F.col("msg_id").cast("string").cast("binary")) % 3 == 1
+    msgs = documents(spark, sf).select("msg_id", "text", "lang", held.alias("held_out"))
+    model = language_model(msgs.where("not held_out"))
+    out = identify_languages(msgs.select("msg_id", "text", "held_out"), model)
+    return out.select(F.col("msg_id").alias("doc_id"), "held_out", "lang_pred", "score", F.size("lang_mix").alias("n_langs"))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    out = token_counts(documents(spark, sf).select("msg_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(F.col("msg_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    held = F.crc32(F.col("msg_id").cast("string").cast("binary")) % 4 == 2
+    msgs = documents(spark, sf).select("msg_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("msg_id"), "toxic").where(~held)
+    out = score_toxicity(msgs.withColumn("held_out", held), toxicity_model(msgs, labels))
+    return out.select(F.col("msg_id").alias("doc_id"), "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+@query("op10_contamination")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    out = find_contamination(documents(spark, sf).select("msg_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return out.select(F.col("msg_id").alias("doc_id"), "contaminated", "n_items", items.alias("item_ids"), F.size("matches").cast("long").alias("n_matches"))
