@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.llm.chat import chat_samples
 from threadloom.llm.contamination import find_contamination
 from threadloom.llm.language import identify_languages, language_model
 from threadloom.llm.mixing import curriculum
 from threadloom.llm.near import near_duplicates
+from threadloom.llm.quality import quality_rules
 from threadloom.llm.substrings import drop_repeated_passages
 from threadloom.llm.suffixes import drop_repeated_strings
 from threadloom.llm.tokens import token_counts
@@ -83,7 +85,7 @@ laid AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sized),
 copies AS (
-  SELECT l.doc_id, l.size, p.*, l.before + e.e * p.source_size AS b,
+  SELECT l.doc_id, l.size, l.before, p.*, l.before + e.e * p.source_size AS b,
          least(greatest(floor(p.target)::BIGINT - (l.before + e.e * p.source_size), 0), l.size)::BIGINT AS words, e.e AS e
   FROM laid l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source, (SELECT unnest([0, 1, 2]) AS e) e)
 SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
@@ -137,3 +139,67 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     out = find_contamination(documents(spark, sf).select("msg_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet"))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return out.select(F.col("msg_id").alias("doc_id"), "contaminated", "n_items", items.alias("item_ids"), F.size("matches").cast("long").alias("n_matches"))
+
+
+@query(
+    "op6_quality",
+    """
+WITH base AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM base WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+rep AS (
+  SELECT doc_id, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT b.doc_id, lang, source, len(w)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM base b LEFT JOIN rep USING (doc_id)),
+f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         100 * word_chars // greatest(n_words, 1) AS v1, 1000 * n_symbols // greatest(n_words, 1) AS v2,
+         1000 * n_dup_lines // greatest(n_lines, 1) AS v3, 1000 * n_repeat_words // greatest(n_words, 1) AS v4
+  FROM m),
+cells AS (
+  SELECT lang, source, k, v // (1::BIGINT << greatest(length(bin(v)) - 5, 0)::INT) * (1::BIGINT << greatest(length(bin(v)) - 5, 0)::INT) AS cell
+  FROM (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([v1, v2, v3, v4]) AS v FROM f WHERE NOT base_failed)),
+grp AS (SELECT lang, source, count(*) < 100 AS pooled FROM f WHERE NOT base_failed GROUP BY ALL),
+sk AS (
+  SELECT c.lang, pooled, CASE WHEN NOT pooled THEN c.source END AS own, k, cell, count(*) AS n
+  FROM cells c JOIN grp g ON c.lang IS NOT DISTINCT FROM g.lang AND c.source IS NOT DISTINCT FROM g.source GROUP BY ALL),
+cum AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, pooled, own, k ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY lang, pooled, own, k) AS total FROM sk),
+q AS (
+  SELECT lang, pooled, own, k, min(cell) FILTER (upto * 4 >= total) AS q1, min(cell) FILTER (upto * 4 >= total * 3) AS q3
+  FROM cum GROUP BY ALL),
+lim AS (
+  SELECT lang, pooled, own,
+         max(q1 - 3 * (q3 - q1) - 100) FILTER (k = 1) AS lo1, max(q3 + 3 * (q3 - q1) + 100) FILTER (k = 1) AS hi1,
+         max(q3 + 3 * (q3 - q1) + 100) FILTER (k = 2) AS hi2, max(q3 + 3 * (q3 - q1) + 100) FILTER (k = 3) AS hi3,
+         max(q3 + 3 * (q3 - q1) + 50) FILTER (k = 4) AS hi4
+  FROM q GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(NOT base_failed AND v1 BETWEEN lo1 AND hi1 AND v2 <= hi2 AND v3 <= hi3 AND v4 <= hi4, false) AS kept
+FROM f LEFT JOIN grp g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source
+LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND g.pooled = lim.pooled
+     AND (CASE WHEN NOT g.pooled THEN f.source END) IS NOT DISTINCT FROM lim.own
+""",
+)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    out = quality_rules(documents(spark, sf))
+    return out.select(F.col("msg_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_chat_samples")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    turns = tune(spark).read.parquet(f"{sf}/conversations.parquet")
+    msgs = turns.select(F.lit("turns").alias("dataset"), F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("pos"), F.col("role").alias("author"), "text")
+    out = chat_samples(msgs)
+    return out.select(F.col("conv_id").cast("long").alias("conv_id"), "part", F.col("n_messages").alias("n_turns"), "n_quotes", "n_linked", "chat")
