@@ -48,12 +48,15 @@ def audit(calls: DataFrame) -> DataFrame:
     )
 
 
-def prompt_text(msgs: DataFrame, window: int = 300) -> DataFrame:
-    """(conversation, window, prompt): one line per message; windows bound what is gathered."""
+def prompt_text(msgs: DataFrame, window: int = 300, max_chars: int = 200) -> DataFrame:
+    """(conversation, window, prompt): one line per message; windows bound what is gathered.
+
+    A prompt shows the first ``max_chars`` characters of a message.
+    """
     when = F.coalesce((F.col("ts_us") / 1e6).cast("string"), F.lit("?"))
     line = F.concat(
         F.lit("["), (F.col("pos") % window).cast("string"), F.lit("] ("), F.coalesce(F.nullif("author", F.lit("")), F.lit("?")),
-        F.lit(" @"), when, F.lit(") "), F.substring("text", 1, 200),
+        F.lit(" @"), when, F.lit(") "), F.substring("text", 1, max_chars),
     )
     rows = msgs.select(*CONV, F.floor(F.col("pos") / window).alias("window"), F.struct("pos", line.alias("line")).alias("m"))
     lines = F.transform(F.array_sort(F.collect_list("m")), lambda m: m["line"])

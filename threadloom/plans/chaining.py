@@ -271,7 +271,7 @@ def m19(spark, sf):
     return layer_rows(spark, sf).select(*em.ALG, *[F.round(c, 6).alias(c) for c in LAYER_COLS])
 
 
-@query("m20_exact_by_length", LAYERS + " SELECT algorithm, CASE WHEN gl <= 3 THEN '2-3' WHEN gl <= 5 THEN '4-5' ELSE '6-8' END AS bucket, count(*) AS n, round(avg(em), 6) AS em FROM cmpc WHERE gl BETWEEN 2 AND 8 GROUP BY ALL")
+@query("m20_exact_by_length", LAYERS + " SELECT algorithm, CASE WHEN gl < 2 THEN '1' WHEN gl <= 3 THEN '2-3' WHEN gl <= 5 THEN '4-5' WHEN gl <= 8 THEN '6-8' ELSE '9+' END AS bucket, count(*) AS n, round(avg(em), 6) AS em FROM cmpc GROUP BY ALL")
 def m20(spark, sf):
     pairs = layers.chain_pairs(t.messages(spark, sf), single_gold(spark, sf), t.preds(spark, sf), t.NAMES)
     return layers.by_length(pairs).withColumn("em", F.round("em", 6))

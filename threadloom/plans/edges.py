@@ -14,7 +14,7 @@ from threadloom.schema import CONV
 from threadloom.sources.events import with_mentions
 
 MSG_SQL = f"WITH {t.MSGS}"
-LOOK6 = f"WITH {t.MSGS}, {t.lookup_sql('look', 6, True, 30)}"
+LOOK6 = f"WITH {t.MSGS}, {t.lookup_sql('look', 6, False, 30)}"
 
 
 @query("j01_mention_asof", LOOK6 + " SELECT DISTINCT dataset, conv_id, child, parent FROM look WHERE parent IS NOT NULL")
@@ -67,7 +67,7 @@ def p01(spark, sf):
            floor(c)::BIGINT AS idx_lag_median, floor(d)::BIGINT AS idx_lag_p90 FROM a, l""",
 )
 def m06(spark, sf):
-    msgs = with_mentions(silver.sized(t.messages(spark, sf), 30), True)
+    msgs = with_mentions(silver.sized(t.messages(spark, sf), 30))
     return silver.silver_stats(msgs, silver.mention_lookup(msgs))
 
 
@@ -88,7 +88,7 @@ def p14(spark, sf):
 
 @query(
     "p15_gates",
-    f"WITH {t.MSGS}, {t.lookup_sql('look', 6, True, 30)}, {t.GOLD} {VALIDATE}"
+    f"WITH {t.MSGS}, {t.lookup_sql('look', 6, False, 30)}, {t.GOLD} {VALIDATE}"
     + """, r AS (SELECT round(100.0 * count(parent) / greatest(count(*), 1), 6)::DOUBLE AS resolution_pct FROM look),
     q AS (SELECT round(100.0 * count(*) FILTER (k > 1) / greatest((SELECT count(*) FROM kept_look), 1), 6)::DOUBLE AS multi_parent_pct
           FROM (SELECT conv_id, child, count(parent) AS k FROM look GROUP BY ALL)),
@@ -97,7 +97,7 @@ def p14(spark, sf):
            multi_parent_pct IS NOT NULL AS g3_recorded FROM r, q, w""",
 )
 def p15(spark, sf):
-    msgs = with_mentions(silver.sized(t.messages(spark, sf), 30), True)
+    msgs = with_mentions(silver.sized(t.messages(spark, sf), 30))
     stats = silver.silver_stats(msgs, silver.mention_lookup(msgs))
     return silver.gates(stats, silver.validate(t.messages(spark, sf), t.gold(spark, sf)))
 

@@ -109,14 +109,14 @@ def f22(spark, sf):
     return rs.scan(tune(spark).read.parquet(f"{sf}/documents.parquet"), "doc_id")
 
 
-@query("a22_prediction_counts", f"WITH {t.MSGS}, {t.PREDS} SELECT dataset, algorithm, count(*) AS n FROM preds WHERE algorithm <> 'prev1' OR conv_id LIKE '%-w282%' GROUP BY ALL")
+@query("a22_prediction_counts", f"WITH {t.MSGS}, {t.PREDS} SELECT dataset, algorithm, count(*) AS n FROM preds GROUP BY ALL")
 def a22(spark, sf):
     from threadloom.session import table_path
 
-    # written in two steps, the second one resuming where the first ended
-    p = t.preds(spark, sf).where((F.col("algorithm") != "prev1") | F.contains("conv_id", F.lit("-w282")))
+    # written in two steps: half of the conversations first, then whatever is not there yet
+    p = t.preds(spark, sf)
     path = table_path(spark, "preds")
-    runs.write_table(p.where("algorithm = 'prev1'"), path)
+    runs.write_table(p.where(F.crc32(F.col("conv_id").cast("binary")) % 2 == 0), path)
     done = spark.read.parquet(path)
     rest = nz.pending(p, done, ["dataset", "algorithm", "conv_id"])
     runs.write_table(rest, path)

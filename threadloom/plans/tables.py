@@ -21,7 +21,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     return prepared(spark, ("turns", sf), lambda: read_turns(spark, sf))
 
 
-def lookup(spark: SparkSession, sf: str, hours: int = 6, first_only: bool = True, min_msgs: int = 30) -> DataFrame:
+def lookup(spark: SparkSession, sf: str, hours: int = 6, first_only: bool = False, min_msgs: int = 30) -> DataFrame:
     msgs = with_mentions(sized(messages(spark, sf), min_msgs), first_only)
     return mention_lookup(msgs, hours * HOUR_US)
 

@@ -13,9 +13,24 @@ from threadloom.session import materialize, tune
 _PREPARED: dict[tuple, DataFrame] = {}
 
 
+def _state(spark: SparkSession, folder: str) -> int:
+    """Hash of the names, sizes and times of the files below ``folder``, as the store lists them."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found, files = [], path.getFileSystem(conf).listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
 def prepared(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Build a base table once per application and keep it as a written table."""
-    full = (spark.sparkContext.applicationId, *key)
+    """Build a base table once per application and keep it as a written table.
+
+    ``key`` is (name, folder).  The files of the folder, their sizes and times belong to the key, so
+    new files give a new table.
+    """
+    full = (spark.sparkContext.applicationId, *key, _state(spark, key[1]))
     if full not in _PREPARED:
         _PREPARED[full] = materialize(build(), "-".join(str(k) for k in key[:1]))
     return _PREPARED[full]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.operators.normalize import min_parented, min_size, truncate
 from threadloom.operators.ordered import number_rows
 from threadloom.schema import CONV, WEEK_US
-from threadloom.session import tune
+from threadloom.session import materialize, tune
 
 THREAD = "dataset string, conv_id string, title string, msgs array<struct<id:string,author:string,parent:string,parents:array<string>,ts:double,text:string,tlen:int>>, _corrupt_record string"
 EDU = "id string, edus array<struct<text:string,speaker:string>>, relations array<struct<x:long,y:long,type:string>>"
@@ -69,8 +69,11 @@ def read_edu_json(spark: SparkSession, path: str, drop_self: bool = True, min_pa
     return (min_parented(msgs, edges, min_parented_msgs) if min_parented_msgs else msgs), edges
 
 
-def read_channel_dump(spark: SparkSession, glob: str, min_msgs: int = 25, by_week: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Channel NDJSON: no bots, message types 0, 19 and 21; (file, channel, week) or (channel) conversations."""
+def read_channel_dump(spark: SparkSession, glob: str, min_msgs: int = 25, by_week: bool = True, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Channel NDJSON: no bots, message types 0, 19 and 21; (file, channel, week) or (channel) conversations.
+
+    Texts are whole unless ``max_chars`` cuts them.
+    """
     raw = tune(spark).read.schema(DUMP).json(glob)
     kept = raw.where("_corrupt_record is null and not coalesce(is_bot, false) and type in (0, 19, 21)")
     ts = F.unix_micros(F.try_to_timestamp("timestamp"))
@@ -78,9 +81,11 @@ def read_channel_dump(spark: SparkSession, glob: str, min_msgs: int = 25, by_wee
     week = F.coalesce(F.floor(ts / WEEK_US), F.lit(0)).cast("string")
     conv = F.concat_ws("-", file, "channel_id", week) if by_week else F.concat_ws("-", "channel_id", F.lit("wNone"))
     ref = F.col("message_reference.message_id")
+    text = F.coalesce("content", F.lit(""))
+    text = text if max_chars is None else F.substring(text, 1, max_chars)
     rows = kept.select(
         F.lit("channel").alias("dataset"), conv.alias("conv_id"), F.col("id").alias("msg_id"), F.col("author.id").alias("author"), ts.alias("ts_us"),
-        F.substring(F.coalesce("content", F.lit("")), 1, 300).alias("text"), F.col("id").alias("nth"),
+        text.alias("text"), F.col("id").alias("nth"),
         F.when(ref.isNotNull(), F.array(ref)).otherwise(F.array().cast("array<string>")).alias("parent_ids"),
     )
     msgs = _positions(min_size(rows, min_msgs))
@@ -99,11 +104,14 @@ def read_chat_parquet(spark: SparkSession, path: str) -> DataFrame:
     return number_rows(rows, CONV, ["nth", "author", "_tie"]).drop("_tie")
 
 
-def flatten_tree(spark: SparkSession, path: str, max_depth: int = 40) -> DataFrame:
-    """Nested reply trees (``children``) -> rows with depth, level by level over a VARIANT."""
+def flatten_tree(spark: SparkSession, path: str) -> DataFrame:
+    """Nested reply trees (``children``) -> rows with depth, level by level over a VARIANT.
+
+    Trees may have any depth; each level is written and the next one starts from there.
+    """
     level = tune(spark).read.text(path).select(F.try_parse_json("value").alias("v"), F.lit(0).alias("depth")).where("v is not null")
     out = None
-    for _ in range(max_depth):
+    while True:
         get = lambda f, ty: F.try_variant_get("v", f"$.{f}", ty)
         flat = level.select(
             get("id", "long").alias("id"), get("author", "string").alias("author"), get("parent_id", "long").alias("parent"),
@@ -111,9 +119,10 @@ def flatten_tree(spark: SparkSession, path: str, max_depth: int = 40) -> DataFra
         )
         out = flat if out is None else out.unionByName(flat)
         level = level.select(F.explode(get("children", "array<variant>")).alias("v"), (F.col("depth") + 1).alias("depth"))
+        level = materialize(level.select(F.to_json("v").alias("j"), "depth"), "level")
         if level.isEmpty():
             return out
-    raise ValueError(f"reply trees deeper than {max_depth}: raise max_depth")
+        level = level.select(F.parse_json("j").alias("v"), "depth")
 
 
 def read_instances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
