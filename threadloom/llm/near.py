@@ -21,7 +21,7 @@ BAND = 6
 #: Estimates may fall below the wanted similarity by so much (five standard deviations of a sketch).
 SLACK = 0.13
 #: Members of one band bucket that are compared in one place; larger buckets are split into pairs of blocks.
-BLOCK = 2000
+BLOCK = 500
 
 #: Fixed value: the constant of the expected number of equal registers of unrelated sets.
 COLLISIONS = 0.169919487159739093975315012348630288992889
@@ -118,17 +118,23 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return raw.view(np.uint16).reshape(len(off) - 1, REGISTERS)
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Hash of each band of registers, the number of the band included."""
+    count = REGISTERS // BAND
+    parts = regs[:, : count * BAND].reshape(-1, count, BAND).astype(np.uint64)
+    key = np.arange(count, dtype=np.uint64)[None, :] + np.uint64(1)
+    for k in range(BAND):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
+    return key
+
+
 def bands(classes: DataFrame) -> DataFrame:
     """(band, rep): one row for each band of registers of a class."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = REGISTERS // BAND
         for batch in batches:
-            regs = _matrix(batch["registers"])[:, : count * BAND].reshape(-1, count, BAND).astype(np.uint64)
-            key = np.arange(count, dtype=np.uint64)[None, :] + np.uint64(1)
-            for k in range(BAND):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, k])
-            rep = np.repeat(batch["rep"].to_numpy(zero_copy_only=False), count)
+            key = band_keys(_matrix(batch["registers"]))
+            rep = np.repeat(batch["rep"].to_numpy(zero_copy_only=False), key.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rep)], ["band", "rep"])
 
     return classes.select("rep", "registers").mapInArrow(work, "band bigint, rep bigint")
@@ -172,39 +178,106 @@ def verified(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def across(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Likely pairs inside the band buckets whose members are not all of one component.
+def _likely_pairs(key: np.ndarray, band: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely pairs (row numbers) of different components inside the groups of the sorted ``key``.
 
-    A bucket of more than ``BLOCK`` members is dealt to pairs of blocks, so no task holds more than
-    two blocks of it and every pair still meets.
+    A pair that shares several bands counts only in the first of them.
+    """
+    own = np.argmax(band_keys(regs) == band.view(np.uint64)[:, None], axis=1)
+    parts = regs[:, : REGISTERS // BAND * BAND].reshape(len(regs), -1, BAND)
+    for d in range(1, len(key)):
+        i = np.flatnonzero(key[d:] == key[:-d])
+        if not len(i):
+            return
+        i = i[comp[i] != comp[i + d]]
+        for at in range(0, len(i), 20_000):
+            x = i[at : at + 20_000]
+            x = x[similarity(regs[x], regs[x + d], n[x], n[x + d]) >= least]
+            first = np.argmax((parts[x] == parts[x + d]).all(axis=2), axis=1)
+            x = x[first == own[x]]
+            if len(x):
+                yield x, x + d
+
+
+def _confirmed(texts: pa.ChunkedArray, pairs: list[tuple[np.ndarray, np.ndarray]], shingle: int, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs of one group; pairs that are connected by then are passed over."""
+    row, key = shingle_sets(texts, shingle)
+    _, code = np.unique(key, return_inverse=True)
+    size = np.bincount(row, minlength=len(texts))
+    first = np.cumsum(size) - size
+    top = list(range(len(texts)))
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    s, n = runs(np.append(True, a[1:] != a[:-1]))
+    mark = np.zeros(int(code.max(initial=0)) + 1, bool)
+    out = []
+    for x, others in zip(a[s].tolist(), np.split(b, s[1:]), strict=True):
+        others = others[[root(y) != root(x) for y in others.tolist()]]
+        if not len(others):
+            continue
+        mine = code[first[x] : first[x] + size[x]]
+        mark[mine] = True
+        hit = mark[code[ranges(first[others], size[others])]]
+        both = np.add.reduceat(hit, np.cumsum(size[others]) - size[others], dtype=np.int64)
+        mark[mine] = False
+        for y in others[100 * both >= percent * (size[x] + size[others] - both)].tolist():
+            if root(x) != root(y):
+                top[max(root(x), root(y))] = min(root(x), root(y))
+                out.append((x, y))
+    return out
+
+
+def linked_across(members: DataFrame, classes: DataFrame, rows: DataFrame, least: float, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) inside band buckets whose members are not all of one component.
+
+    Members of a bucket are compared by registers where they meet.  Those that have a likely partner
+    in another component come together once more with their texts, and the pairs are confirmed
+    there, so neither step lists pairs: a bucket gives at most one link less than it has members.  A
+    bucket of more than ``BLOCK`` members is dealt to pairs of blocks; every pair still meets.
     """
     mixed = members.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi")
     n = F.ceil(F.col("_n") / BLOCK)
-    own = F.pmod(F.xxhash64("rep"), n)
-    got = members.join(mixed.select("band", "_n"), "band")
-    got = got.join(classes.select("rep", "registers", "n_shingles"), "rep").select("rep", "comp", "registers", "n_shingles", "band", n.alias("_blocks"), own.alias("_own"))
+    got = members.join(mixed.select("band", "_n"), "band").join(classes.select("rep", "registers", "n_shingles"), "rep")
+    got = got.select("rep", "comp", "registers", "n_shingles", "band", n.alias("_blocks"), F.pmod(F.xxhash64("rep"), n).alias("_own"))
     got = got.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     got = got.withColumn("_bucket", F.xxhash64("band", F.least("_own", "_other"), F.greatest("_own", "_other")))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "_bucket"):
+            key, band, comp, n = (t[k].to_numpy() for k in ("_bucket", "band", "comp", "n_shingles"))
+            hit = np.zeros(len(t), bool)
+            for x, y in _likely_pairs(key, band, comp, n, _matrix(t["registers"]), least):
+                hit[x] = hit[y] = True
+            yield from t.select(["_bucket", "band", "rep", "comp"]).filter(pa.array(hit)).to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "_bucket"):
-            key, comp, rep, n = (t[k].to_numpy() for k in ("_bucket", "comp", "rep", "n_shingles"))
-            regs = _matrix(t["registers"])
-            for d in range(1, len(key)):
-                i = np.flatnonzero(key[d:] == key[:-d])
-                if not len(i):
-                    break
-                i = i[comp[i] != comp[i + d]]
-                for at in range(0, len(i), 20_000):
-                    x = i[at : at + 20_000]
-                    y = x + d
-                    ok = similarity(regs[x], regs[y], n[x], n[y]) >= least
-                    a, b = rep[x[ok]], rep[y[ok]]
+            all_keys = t["_bucket"].to_numpy()
+            s, n = runs(np.append(True, all_keys[1:] != all_keys[:-1]))
+            for at, size in zip(s.tolist(), n.tolist(), strict=True):
+                g = t.slice(at, size)
+                key, band, comp, rep = (g[k].to_numpy() for k in ("_bucket", "band", "comp", "rep"))
+                row, found = shingle_sets(g["text"], shingle)
+                regs = registers(row, found, size)
+                pairs = list(_likely_pairs(key, band, comp, np.bincount(row, minlength=size), regs, least))
+                links = _confirmed(g["text"], pairs, shingle, percent) if pairs else []
+                if links:
+                    a, b = (rep[[x[k] for x in links]] for k in (0, 1))
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    cols = ["_bucket", "rep", "comp", "n_shingles", "registers"]
+    cols = ["_bucket", "band", "rep", "comp", "n_shingles", "registers"]
     dealt = got.select(*cols).repartition("_bucket").sortWithinPartitions("_bucket")
-    return dealt.mapInArrow(work, "a bigint, b bigint").distinct()
+    likely_ones = materialize(dealt.mapInArrow(find, "_bucket bigint, band bigint, rep bigint, comp bigint"), "likely")
+    full = likely_ones.join(rows.select(F.col("_at").alias("rep"), "text"), "rep").select("_bucket", "band", "rep", "comp", "text")
+    return full.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(confirm, "a bigint, b bigint").distinct()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -238,14 +311,14 @@ def near_duplicates(messages: DataFrame, shingle: int = 5, percent: int = 80) ->
     2. Classes that share a band of registers meet.  First each is paired with the smallest member
        of its buckets (no bucket lists its pairs); likely pairs are confirmed on the full sets.
     3. Buckets that still hold several components compare the members of different components
-       by their registers, block by block; likely pairs are confirmed as well.
+       by their registers, block by block, and confirm likely pairs there on the full sets.
     A pair of similarity 0.8 shares no band with a chance of 3e-6, less above.
 
     Null or empty text, or no word: empty set, linked with nothing, kept.  A null ``msg_id`` is
     the smallest id.  Rows that repeat a ``msg_id`` are one message: the links of each hold.
     Other columns are not kept.  An empty table gives an empty result.
     """
-    rows = placed(messages.select("msg_id", "text"))
+    rows = placed(messages.select("msg_id", "text")).select(F.col("at").alias("_at"), "row.text")
     least = percent / 100 - SLACK
     sketch = materialize(sketches(rows, shingle), "sketches")
     filled = sketch.where("n_shingles > 0")
@@ -259,9 +332,8 @@ def near_duplicates(messages: DataFrame, shingle: int = 5, percent: int = 80) ->
     links = materialize(verified(likely(stars, classes, least), rows, shingle, percent), "links")
     comp = link_components(links, "a", "b")
     known = members.join(comp, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    rest = materialize(across(known, classes, least).join(links, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = materialize(verified(rest, rows, shingle, percent), "links")
+    more = materialize(linked_across(known, classes, rows, least, shingle, percent), "links")
+    if not more.isEmpty():
         comp = link_components(links.unionByName(more), "a", "b")
     led = classes.select("set_hi", "set_lo", "n_shingles", "rep").join(comp, F.col("rep") == F.col("node"), "left")
     led = led.select("set_hi", "set_lo", "n_shingles", F.coalesce("comp", "rep").alias("_comp"))
