@@ -101,12 +101,14 @@ def align(codes: np.ndarray, passage: np.ndarray, diagonal: np.ndarray, index: d
     best, end = np.full(len(passage), 1 << 20, np.int64), np.zeros(len(passage), np.int64)
     for i in range(int(size.max(initial=0))):
         live = i < size
-        t = text[base[:, None] + i + step]
-        # an END never equals a character, so no match crosses texts
+        t, ahead = (text[base[:, None] + i + k + step] for k in (0, 1))
+        # passing an END costs more than any budget, so no match crosses texts
         cost = (t != index["codes"][np.minimum(first + i, len(index["codes"]) - 1)][:, None].astype(np.uint32)) + (t == END) * (1 << 12)
+        pass_over = 1 + (ahead == END) * (1 << 12)
+        along = np.cumsum(pass_over, axis=1) - pass_over
         skip = np.append(row[:, 1:], np.full((len(row), 1), 1 << 20, np.int32), axis=1) + 1
         nxt = np.minimum(row + cost, skip)
-        nxt = np.minimum.accumulate(nxt - step, axis=1) + step
+        nxt = np.minimum.accumulate(nxt - along, axis=1) + along
         row = np.where(live[:, None], nxt, row).astype(np.int32)
     if len(passage):
         at = row.argmin(axis=1)

@@ -50,15 +50,15 @@ Settle = Callable[[list[bytes], dict], dict]
 
 
 def placed(messages: DataFrame) -> DataFrame:
-    """Add the place columns ``_at`` and ``_tag``."""
-    return messages.withColumns(
-        {"_at": F.coalesce(F.col("msg_id").cast("long"), F.lit(-(2**63))), "_tag": F.hash(F.coalesce("text", F.lit("")))}
-    )
+    """(at, tag, row): the place of a message, and all its columns as one struct, so that no name clashes."""
+    at = F.coalesce(F.col("msg_id").cast("long"), F.lit(-(2**63)))
+    tag = F.hash(F.coalesce("text", F.lit("")))
+    return messages.select(at.alias("at"), tag.alias("tag"), F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"))
 
 
 def buckets_for(messages: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Number of buckets, from the bytes of all texts."""
-    total = messages.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total = messages.agg(F.sum(F.octet_length("row.text").cast("long"))).first()[0] or 0
     return max(1, -(-total // bucket_bytes))
 
 
@@ -79,7 +79,8 @@ def _pack(columns: dict, layout: list) -> bytes:
     out = []
     for name, kind in layout:
         x = np.asarray(columns[name]).astype(kind)
-        out.append((np.diff(x, prepend=x[:1] * 0) if name == "at" and len(x) else x).tobytes())
+        x = np.diff(x, prepend=x[:1] * 0) if name == "at" and len(x) else x
+        out.append(x.tobytes())
     body = b"".join(out)
     return len(columns["at"]).to_bytes(8, "little") + _ZSTD.compress(body, asbytes=True) if body else b""
 
@@ -131,8 +132,8 @@ def deal(messages: DataFrame, cut: Cut, width: int, parts: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
-            t = t.sort_by("_at")
-            at, tag = t["_at"].to_numpy(), t["_tag"].to_numpy()
+            t = t.sort_by("at")
+            at, tag = t["at"].to_numpy(), t["tag"].to_numpy()
             s = cut(*flat(t["text"]))
             if not s.text:
                 continue
@@ -151,7 +152,7 @@ def deal(messages: DataFrame, cut: Cut, width: int, parts: int) -> DataFrame:
                 rows["gone"].append(_pack(_spans(_take(place, gone), width), _GONE))
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("part", pa.int32()), ("text", pa.binary()), ("places", pa.binary()), ("gone", pa.binary())]))
 
-    return messages.select("_at", "_tag", "text").mapInArrow(work, _PACKED)
+    return messages.select("at", "tag", "row.text").mapInArrow(work, _PACKED)
 
 
 def _join(slices: list[bytes]) -> bytes:
@@ -219,9 +220,14 @@ def merged(row: np.ndarray, start: np.ndarray, place: dict, width: int) -> dict:
 
 
 def with_spans(messages: DataFrame, spans: DataFrame) -> DataFrame:
-    """Messages with ``_spans``: the (start, stop) of what a message loses, null if it loses nothing."""
-    mine = spans.groupBy(F.col("at").alias("_at"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    return messages.join(mine, ["_at", "_tag"], "left")
+    """(text, row, spans): what each message loses as (start, stop), null if it loses nothing."""
+    mine = spans.groupBy("at", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return messages.join(mine, ["at", "tag"], "left").select("row.text", "row", "spans")
+
+
+def unpacked(row: pa.ChunkedArray) -> pa.Table:
+    """The columns of a struct column."""
+    return pa.Table.from_batches([pa.RecordBatch.from_struct_array(c) for c in row.chunks])
 
 
 def spans_of(column: pa.ChunkedArray) -> Iterator[list[tuple[int, int]]]:

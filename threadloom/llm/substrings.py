@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from threadloom.llm.ragged import chunks, flat, mix, ranges, rolling, runs, split_words
-from threadloom.llm.slices import Slices, buckets_for, deal, later_windows, merged, minimiser_runs, placed, settle, spans_of, with_spans
+from threadloom.llm.slices import Slices, buckets_for, deal, later_windows, merged, minimiser_runs, placed, settle, spans_of, unpacked, with_spans
 
 #: Words of a window and of the minimiser that deals it.
 WINDOW = 20
@@ -43,7 +43,7 @@ def super_kmers(raw: np.ndarray, off: np.ndarray, window: int, minimiser: int) -
     valid = _starts(w.first, window)
     if not len(valid):
         return Slices([], *(np.zeros(0, np.int64),) * 5)
-    grams = mix(rolling(w.hashes(), minimiser))
+    grams = rolling(w.hashes(), minimiser)
     at, n, low, multi = minimiser_runs(grams, window - minimiser + 1, valid)
     row = np.searchsorted(w.first, at, side="right") - 1
     data = w.data.tobytes()
@@ -104,16 +104,15 @@ def _by_content(w, valid: np.ndarray, window: int) -> np.ndarray:
 
 
 def _keep(rows: DataFrame) -> DataFrame:
-    names = [f.name for f in rows.schema if f.name not in ("_at", "_tag", "_spans")]
     new = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
-    schema = StructType([rows.schema[n] for n in names] + new)
+    schema = StructType([*rows.schema["row"].dataType.fields, *new])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
             w = split_words(*flat(t["text"]))
             data, total = w.data.tobytes(), np.diff(w.first)
             gone, kept = [], []
-            for a, b, spans in zip(w.first[:-1].tolist(), w.first[1:].tolist(), spans_of(t["_spans"]), strict=True):
+            for a, b, spans in zip(w.first[:-1].tolist(), w.first[1:].tolist(), spans_of(t["spans"]), strict=True):
                 at, pieces = a, []
                 for x, y in [*((a + x, a + y) for x, y in spans), (b, b)]:
                     if x > at:
@@ -121,7 +120,7 @@ def _keep(rows: DataFrame) -> DataFrame:
                     at = y
                 gone.append(sum(y - x for x, y in spans))
                 kept.append(b" ".join(pieces).decode())
-            out = t.select(names).append_column("n_words", pa.array(total, pa.int64())).append_column("n_removed", pa.array(gone, pa.int64()))
+            out = unpacked(t["row"]).append_column("n_words", pa.array(total, pa.int64())).append_column("n_removed", pa.array(gone, pa.int64()))
             yield from out.append_column("kept_text", pa.array(kept, pa.string())).to_batches()
 
-    return rows.select(*names, "_spans").mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)
