@@ -47,3 +47,16 @@ def test_last_before(spark):
     laid = ordered.lay_out(rows(spark), ["k"], ["t"])
     assert laid.where("k = 'hot'").select("_seg").distinct().count() > 1
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_quantiles_agree_with_the_engine(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.operators.ordered import quantiles
+
+    df = spark.range(200).selectExpr("id % 3 k", "if(id % 7 = 0, null, (id * 37) % 50) x", "id / 3.0 y")
+    for limit in (None, 0):
+        got = quantiles(df, ["k"], {"a": (F.col("x"), 0.5), "b": (F.col("x"), 0.9), "c": (F.col("y"), 0.25)}, limit)
+        want = df.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("a"), F.percentile("x", F.lit(0.9)).alias("b"), F.percentile("y", F.lit(0.25)).alias("c"))
+        close = lambda rows: sorted((r.k, round(r.a, 9), round(r.b, 9), round(r.c, 9)) for r in rows.collect())
+        assert close(got) == close(want)

@@ -77,3 +77,24 @@ def test_responses(spark):
     df = spark.createDataFrame(rows, "k int, b string").select("k", classify("b").alias("r")).orderBy("k")
     got = [(r["r"]["content"], r["r"]["failure_mode"]) for r in df.collect()]
     assert got == [('{"chains":[]}', None), ('{"chai', "output_truncated"), (None, "empty_content"), (None, "bad_response"), (None, "network")]
+
+
+def test_deep_trees(spark, tmp_path):
+    from threadloom.sources.threads import flatten_tree
+
+    tree = '{"id": 60, "author": "a", "children": []}'
+    for k in range(59, -1, -1):
+        tree = '{"id": %d, "author": "a", "children": [%s]}' % (k, tree)
+    (tmp_path / "tree.json").write_text(tree + "\n")
+    assert sorted((r.id, r.depth) for r in flatten_tree(spark, str(tmp_path / "tree.json")).collect()) == [(k, k) for k in range(61)]
+
+
+def test_prepared_tables_follow_their_files(spark, tmp_path):
+    from threadloom.sources.events import prepared
+
+    folder = str(tmp_path / "t")
+    spark.range(3).write.parquet(folder)
+    read = lambda: prepared(spark, ("three", folder), lambda: spark.read.parquet(folder)).count()
+    assert read() == read() == 3
+    spark.range(2).write.mode("append").parquet(folder)
+    assert read() == 5

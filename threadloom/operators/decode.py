@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.pairs import DECAY, MIN_COSINE, PAIR, SECOND_MARGIN, SECOND_MIN, WEIGHTS
-from threadloom.schema import CONV
+from threadloom.schema import CONV, WINDOW
 
 
 def per_child(*order: Column):
@@ -45,17 +45,20 @@ def threshold(pairs: DataFrame, tau: float = 0.5, cap: int | None = None) -> Dat
     return edges_out(r.where(keep | (F.col("rank") == 1)))
 
 
-def tau_grid(pairs: DataFrame, gold: DataFrame, taus: Sequence[float], cap: int = 3) -> DataFrame:
-    """P/R/F1 of the capped threshold decoding for every tau of the grid, in one pass."""
-    from threadloom.operators.edge_metrics import prf
+def tau_grid(pairs: DataFrame, gold: DataFrame, taus: Sequence[float], cap: int = 3, w: int = WINDOW) -> DataFrame:
+    """P/R/F1 of the capped threshold decoding for every tau of the grid, in one pass.
+
+    ``pairs`` has all candidates of its messages inside the window ``w``, so the gold edges that
+    could be found are counted without looking at it again.
+    """
+    from threadloom.operators.edge_metrics import in_window, prf
     from threadloom.operators.pairs import label
 
     top = ranked(pairs).where(F.col("rank") <= cap)
     marked = label(top, gold)
     grid = marked.withColumn("tau", F.explode(F.array(*[F.lit(float(x)) for x in taus])))
     kept = grid.where((F.col("score") >= F.col("tau")) | (F.col("rank") == 1))
-    asked = pairs.select(*CONV, "i", "c").join(gold.select(*CONV, F.col("child").alias("i"), F.col("parent").alias("c")), [*CONV, "i", "c"], "left_semi")
-    n_gold = asked.agg(F.count("*").alias("n_gold")).withColumn("_one", F.lit(1))
+    n_gold = in_window(gold, w).agg(F.count("*").alias("n_gold")).withColumn("_one", F.lit(1))
     s = kept.groupBy("tau").agg(F.sum("label").alias("tp"), F.count("*").alias("n_pred")).withColumn("_one", F.lit(1)).join(n_gold, "_one")
     s = s.select("tau", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
     return s.select("tau", "tp", "fp", "fn", *prf("tp", "fp", "fn"))

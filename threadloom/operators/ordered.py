@@ -131,3 +131,27 @@ def last_before(
     local = laid.withColumn("_local", F.last("_v", ignorenulls=True).over(w))
     out = _with_carry(local, carry, keys, ["_carry"])
     return out.withColumn(name, F.coalesce("_local", "_carry")).drop("_v", "_local", "_carry", "_seg")
+
+
+def quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[Column, float]], limit: int | None = None) -> DataFrame:
+    """Exact interpolated quantiles per group: one row a group, one column for each name in ``wanted``.
+
+    ``wanted`` maps a name to (value, share).  Equal values are counted first, on the map side as
+    well, and running counts find the ranks, so no task holds the values of a large group.
+    """
+    values = list(dict.fromkeys(str(c) for c, _ in wanted.values()))
+    first = {str(c): c for c, _ in wanted.values()}
+    parts = F.array(*[F.struct(F.lit(k).alias("_w"), first[v].cast("double").alias("_x")) for k, v in enumerate(values)])
+    counts = df.select(*by, F.inline(parts)).where("_x is not null").groupBy(*by, "_w", "_x").agg(F.count("*").alias("_n"))
+    keys = [*by, "_w"]
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_t"))
+    rows = running_sum(counts, keys, ["_x"], F.col("_n"), "_b", limit).join(total, keys)
+    cols = []
+    for name, (value, share) in wanted.items():
+        mine = F.col("_w") == values.index(str(value))
+        rank = (F.col("_t") - 1) * share
+        at = lambda k, mine=mine: F.max(F.when(mine & (F.col("_b") <= k) & (k < F.col("_b") + F.col("_n")), F.col("_x")))
+        low, high = F.floor(rank), F.ceil(rank)
+        part = F.max(F.when(mine, rank - low))
+        cols.append((at(low) * (1 - part) + at(high) * part).alias(name))
+    return rows.groupBy(*by).agg(*cols)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.graph import depth
-from threadloom.operators.ordered import last_before, running_sum
+from threadloom.operators.ordered import last_before, quantiles, running_sum
 from threadloom.schema import CONV, WINDOW
 
 
@@ -58,7 +58,7 @@ def _pct(n: Column, total: Column) -> Column:
 
 def reply_profile(msgs: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per dataset: sizes, participants, gaps, roots, lags, delays and depths."""
-    half, nine = F.lit(0.5), F.lit(0.9)
+    half = F.lit(0.5)
     mention = F.contains("text", F.lit("<@"))
     conv = msgs.groupBy(*CONV).agg(
         F.count("*").alias("size"), F.countDistinct("author").alias("people"), F.count_if(mention).alias("mentions")
@@ -69,7 +69,7 @@ def reply_profile(msgs: DataFrame, edges: DataFrame) -> DataFrame:
         F.round(F.avg("people"), 6).alias("people_mean"), _pct(F.sum("mentions"), F.sum("size")).alias("mention_pct"),
     )
     gap = gaps(msgs)
-    gap_part = gap.groupBy("dataset").agg(F.floor(F.percentile("gap", half)).alias("gap_median_sec"))
+    gap_part = quantiles(gap, ["dataset"], {"q": (F.col("gap"), 0.5)}).select("dataset", F.floor("q").alias("gap_median_sec"))
     kids = edges.groupBy(*CONV, "child").agg(F.count("*").alias("n"))
     kid_part = kids.groupBy("dataset").agg(
         F.count("*").alias("n_parented"), F.count_if(F.col("n") > 1).alias("n_multi"), F.sum("n").alias("n_edges")
@@ -78,13 +78,14 @@ def reply_profile(msgs: DataFrame, edges: DataFrame) -> DataFrame:
     lag_part = lag.groupBy("dataset").agg(
         F.percentile("lag", half).alias("lag_median"), _pct(F.count_if(F.col("lag") <= 5), F.count("*")).alias("lag_within5_pct"),
         _pct(F.count_if(F.col("lag") > 20), F.count("*")).alias("lag_gt20_pct"), F.percentile(F.col("lag") - 1, half).alias("between_median"),
-        F.floor(F.percentile("delay", half)).alias("delay_median_sec"), F.round(F.percentile("delay", nine), 6).alias("delay_p90_sec"),
     )
+    delay = quantiles(lag, ["dataset"], {"_half": (F.col("delay"), 0.5), "_nine": (F.col("delay"), 0.9)})
+    delay_part = delay.select("dataset", F.floor("_half").alias("delay_median_sec"), F.round("_nine", 6).alias("delay_p90_sec"))
     deep = depth(msgs, edges).groupBy("dataset").agg(F.round(F.avg("depth"), 6).alias("depth_mean"), F.max("depth").alias("depth_max"))
     size_p90 = quantile_exclusive(conv, "dataset", "size", 0.9).withColumnRenamed("q", "size_p90")
     gap_p90 = quantile_exclusive(gap, "dataset", "gap", 0.9).select("dataset", F.floor("q").alias("gap_p90_sec"))
     out = sizes
-    for part in (gap_part, kid_part, lag_part, deep, size_p90, gap_p90):
+    for part in (gap_part, kid_part, lag_part, delay_part, deep, size_p90, gap_p90):
         out = out.join(part, "dataset", "left")
     n = F.col("n_msg")
     return out.withColumns(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.ordered import number_rows
+from threadloom.operators.ordered import number_rows, quantiles
 from threadloom.schema import CONV
 
 
@@ -86,8 +86,8 @@ def auc(rows: DataFrame, label: str, score: str, order: Sequence[str]) -> DataFr
 
 
 def score_quantiles(rows: DataFrame, label: str, score: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile(score, F.lit(p)), 6)
-    return rows.groupBy(label).agg(q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"))
+    got = quantiles(rows, [label], {f"q{p}": (F.col(score), p / 100) for p in (10, 50, 90)})
+    return got.select(label, *[F.round(c, 6).alias(c) for c in ("q10", "q50", "q90")])
 
 
 def transfer_decay(results: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import MENTION_LOOSE, mentions
-from threadloom.operators.ordered import last_before
+from threadloom.operators.ordered import last_before, quantiles
 from threadloom.schema import CONV, HOUR_US
+from threadloom.session import materialize
 
 
 def sized(msgs: DataFrame, min_msgs: int) -> DataFrame:
@@ -86,7 +87,11 @@ def positional_lookup(msgs: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def silver_stats(msgs: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Mention, resolution and multi-parent rates and lag quantiles in one row."""
+    """Mention, resolution and multi-parent rates and lag quantiles in one row.
+
+    The look-up is written once: three figures are taken from it.
+    """
+    lookup = materialize(lookup, "lookup")
     totals = msgs.agg(F.count("*").alias("n_msgs"))
     per_msg = lookup.groupBy(*CONV, "child").agg(
         F.count("*").alias("n_mentions"), F.count("parent").alias("n_found")
@@ -98,11 +103,9 @@ def silver_stats(msgs: DataFrame, lookup: DataFrame) -> DataFrame:
         F.count_if(F.col("n_found") > 1).alias("n_multi_parent"),
     )
     hits = lookup.where("parent is not null")
-    lag_part = hits.agg(
-        F.percentile(F.col("lag_us") / 1e6, F.lit(0.5)).alias("lag_median_sec"),
-        F.percentile(F.col("lag_us") / 1e6, F.lit(0.9)).alias("lag_p90_sec"),
-        F.percentile(F.col("child") - F.col("parent"), F.lit(0.5)).alias("idx_lag_median"),
-        F.percentile(F.col("child") - F.col("parent"), F.lit(0.9)).alias("idx_lag_p90"),
+    sec, idx = F.col("lag_us") / 1e6, F.col("child") - F.col("parent")
+    lag_part = quantiles(
+        hits, [], {"lag_median_sec": (sec, 0.5), "lag_p90_sec": (sec, 0.9), "idx_lag_median": (idx, 0.5), "idx_lag_p90": (idx, 0.9)}
     )
     # three one-row tables side by side
     one = F.lit(1).alias("_one")

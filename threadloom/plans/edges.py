@@ -107,6 +107,19 @@ def w01(spark, sf):
     return run_probes(t.messages(spark, sf), ["prev1"])
 
 
+@query(
+    "w06_b3_mention",
+    MSG_SQL
+    + """, a AS (SELECT c.dataset, c.conv_id, c.pos AS child, max(p.pos) AS hit FROM msgs c LEFT JOIN msgs p
+                ON c.conv_id = p.conv_id AND p.author = c.m1 AND p.pos < c.pos AND p.pos >= c.pos - 100 GROUP BY ALL)
+    SELECT 'b3_mention' AS algorithm, dataset, conv_id, child, coalesce(hit, child) AS parent FROM a""",
+)
+def w06(spark, sf):
+    """The first mention of a message stands in front of its text as the addressee."""
+    msgs = with_mentions(t.messages(spark, sf))
+    return run_probes(msgs.withColumn("text", F.concat(F.get("mentions", F.lit(0)), F.lit(": "), F.col("text"))), ["b3_mention"])
+
+
 @query("w02_saprev", f"WITH {t.MSGS}, {t.PREDS} SELECT * FROM preds WHERE algorithm = 'saprev'")
 def w02(spark, sf):
     return run_probes(t.messages(spark, sf), ["saprev"])

@@ -46,7 +46,7 @@ def g01(spark, sf):
   JOIN forest l ON w.conv_id = l.conv_id AND w.node = l.pos AND l.is_leaf GROUP BY ALL""")
 def g02(spark, sf):
     got = cm.path_totals(t.messages(spark, sf), t.gold(spark, sf), CONV, "n_paths")
-    return got.select(*CONV, F.col("n_paths").cast("long").alias("n_paths"))
+    return got.select(*CONV, cm.whole("n_paths"))
 
 
 @query("g03_components", GRAPH + ", gw AS (SELECT * FROM gold WHERE child - parent <= 100)" + components_sql("gw", "comps")
@@ -55,6 +55,13 @@ def g03(spark, sf):
     return graph.components(t.messages(spark, sf), em.in_window(t.gold(spark, sf)))
 
 
+@query("g03_components_spread", GRAPH + ", gw AS (SELECT * FROM gold WHERE child - parent <= 100)" + components_sql("gw", "comps")
+       + " SELECT m.dataset, c.conv_id, c.pos, c.comp FROM comps c JOIN msgs m USING (conv_id, pos)")
+def g03_spread(spark, sf):
+    """The way large conversations take, for all of them."""
+    return graph.components(t.messages(spark, sf), em.in_window(t.gold(spark, sf)), limit=0)
+
+
 @query("g04_ancestor_closure", GRAPH + CLOSURE + " SELECT * FROM clo")
 def g04(spark, sf):
     return graph.closure(t.messages(spark, sf), t.gold(spark, sf))
@@ -65,6 +72,11 @@ def g05(spark, sf):
     return graph.depth(t.messages(spark, sf), t.gold(spark, sf))
 
 
+@query("g05_reply_depth_spread", GRAPH + WALKS + " SELECT dataset, conv_id, node AS pos, max(hops)::BIGINT AS depth FROM walk GROUP BY ALL")
+def g05_spread(spark, sf):
+    return graph.depth(t.messages(spark, sf), t.gold(spark, sf), limit=0)
+
+
 @query("g06_reply_depth_from_one", GRAPH + WALKS + " SELECT dataset, conv_id, node AS pos, max(hops)::BIGINT + 1 AS depth FROM walk GROUP BY ALL")
 def g06(spark, sf):
     return graph.depth(t.messages(spark, sf), t.gold(spark, sf), root=1)

@@ -19,13 +19,16 @@ from threadloom.session import table_path
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None, late: list[int] | None = None) -> DataFrame:
     """Process what is available and return the written result.
 
-    ``batch=N`` folders make the sink idempotent: a repeated batch overwrites itself.
+    ``batch=N`` folders make the sink idempotent: a repeated batch overwrites itself.  With
+    ``folder`` rows and progress stay there, and a later call goes on where this one ended.
+    ``late`` receives the number of rows that came behind the watermark and were dropped.
     """
     spark = stream.sparkSession
-    out, log = table_path(spark, "stream"), table_path(spark, "stream-log")
+    folder = folder or table_path(spark, "stream")
+    out, log = f"{folder}/rows", f"{folder}/log"
 
     def write(df: DataFrame, batch: int) -> None:
         target = f"{out}/batch=0" if mode == "complete" else f"{out}/batch={batch}"
@@ -33,6 +36,8 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
+    if late is not None:
+        late.append(sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]))
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
@@ -57,7 +62,8 @@ def mention_edges(rows: DataFrame, window_us: int = 6 * HOUR_US, delay: str = "1
 
     Rows wait in the state until the watermark has passed them and are then taken in event-time
     order, mentions before messages of the same instant; later arrivals are dropped and counted by
-    the engine.  Between batches a key keeps its waiting rows and its last message.
+    the engine.  Between batches a key keeps its waiting rows and its last message, until the
+    watermark is more than ``window_us`` past that.
     """
     keys = [*CONV, "name"]
     schema = "dataset string, conv_id string, name string, child long, parent long, lag_us long"
@@ -80,9 +86,13 @@ def mention_edges(rows: DataFrame, window_us: int = 6 * HOUR_US, delay: str = "1
             elif last_ts >= 0 and last_ts < t and t - last_ts <= window_us:
                 found.append((*key, m, last_msg, t - last_ts))
         rest = waiting[n:]
-        st.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], last_ts, last_msg))
-        if rest:
-            st.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, st.getCurrentWatermarkMs() + 1))
+        if not rest and mark - last_ts > window_us:  # nothing can refer to this name any more
+            if st.exists:
+                st.remove()
+        else:
+            st.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], last_ts, last_msg))
+            due = rest[0][0] if rest else last_ts + window_us
+            st.setTimeoutTimestamp(max(due // 1000 + 1, st.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(found, columns=[*keys, "child", "parent", "lag_us"])
 
     timed = rows.withWatermark("ts", delay)
