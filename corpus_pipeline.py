@@ -17,14 +17,11 @@ from threadloom.llm.queries import as_messages, cyclic_schedules
 from threadloom.llm.substrings import drop_repeated_passages
 from threadloom.session import materialize, tune
 
-#: Documents go when no language has this share of them.
-LEAST_SHARE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or with no language for half of their text, go."""
+    """Documents that are of no language (no text, or no letter in it) go; mixed ones stay."""
     found = identify_languages(docs, language_model(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
