@@ -13,6 +13,7 @@ from threadloom.functions.text import speaker, words
 from threadloom.operators.blocks import band_pairs, with_reach
 from threadloom.operators.graph import keyed_schema
 from threadloom.schema import CONV, WINDOW
+from threadloom.session import materialize
 
 PAIR = [*CONV, "_blk", "i"]
 
@@ -133,25 +134,22 @@ def pair_dots(msgs: DataFrame, w: int = WINDOW) -> DataFrame:
 
 
 def fit_idf(texts: DataFrame) -> DataFrame:
-    """(word, idf) with idf = ln((1+N)/(1+df)) + 1, and the value for unseen words in ``unseen``."""
-    n = texts.agg(F.count("*").alias("n_docs")).withColumn("_one", F.lit(1))
+    """(word, idf) with idf = ln((1+N)/(1+df)) + 1, and the value for unseen words in ``unseen``; written once."""
+    n = F.lit(texts.count())
     df = texts.select(F.explode(F.array_distinct(words("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    out = df.withColumn("_one", F.lit(1)).join(n, "_one")
-    return out.select(
-        "word",
-        (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"),
-        (F.log(1.0 + F.col("n_docs")) + 1).alias("unseen"),
-    )
+    out = df.select("word", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"), (F.log(1.0 + n) + 1).alias("unseen"))
+    return materialize(out, "idf")
 
 
 def weigh(rows: DataFrame, idf: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, word, weight, norm): tf-idf weights of every text and the length of its vector."""
+    """(keys, word, weight, norm): tf-idf weights of every text and the length of its vector; written once."""
     tf = rows.select(*keys, F.explode(words("text")).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
-    unseen = idf.agg(F.first("unseen").alias("u")).withColumn("_one", F.lit(1))
-    w = tf.join(idf.select("word", "idf"), "word", "left").withColumn("_one", F.lit(1)).join(unseen, "_one")
-    w = w.select(*keys, "word", (F.col("tf") * F.coalesce("idf", "u")).alias("weight"))
+    known = idf.select("unseen").first()  # one number
+    unseen = F.lit(known[0] if known else 1.0)
+    w = tf.join(idf.select("word", "idf"), "word", "left")
+    w = w.select(*keys, "word", (F.col("tf") * F.coalesce("idf", unseen)).alias("weight"))
     norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return w.join(norm, list(keys))
+    return materialize(w.join(norm, list(keys)), "weights")
 
 
 def shared_words(weights: DataFrame, w: int = WINDOW) -> DataFrame:
