@@ -24,7 +24,7 @@ LEAST_GROUP = 100
 SPREAD = 3
 
 #: Adaptive metrics: (name, widening of both fences, whether there is a lower fence).
-METRICS = [("word_length", 100, True), ("symbol_rate", 100, False), ("dup_line_rate", 100, False), ("repeat_rate", 50, False)]
+METRICS = [("word_length", 300, True), ("symbol_rate", 100, False), ("dup_line_rate", 300, False), ("repeat_rate", 150, False)]
 
 
 def repeated_words(words: Column, window: int = REPEAT_WINDOW) -> Column:

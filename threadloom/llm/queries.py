@@ -181,9 +181,9 @@ q AS (
   FROM cum GROUP BY ALL),
 lim AS (
   SELECT lang, pooled, own,
-         max(q1 - 3 * (q3 - q1) - 100) FILTER (k = 1) AS lo1, max(q3 + 3 * (q3 - q1) + 100) FILTER (k = 1) AS hi1,
-         max(q3 + 3 * (q3 - q1) + 100) FILTER (k = 2) AS hi2, max(q3 + 3 * (q3 - q1) + 100) FILTER (k = 3) AS hi3,
-         max(q3 + 3 * (q3 - q1) + 50) FILTER (k = 4) AS hi4
+         max(q1 - 3 * (q3 - q1) - 300) FILTER (k = 1) AS lo1, max(q3 + 3 * (q3 - q1) + 300) FILTER (k = 1) AS hi1,
+         max(q3 + 3 * (q3 - q1) + 100) FILTER (k = 2) AS hi2, max(q3 + 3 * (q3 - q1) + 300) FILTER (k = 3) AS hi3,
+         max(q3 + 3 * (q3 - q1) + 150) FILTER (k = 4) AS hi4
   FROM q GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(NOT base_failed AND v1 BETWEEN lo1 AND hi1 AND v2 <= hi2 AND v3 <= hi3 AND v4 <= hi4, false) AS kept
