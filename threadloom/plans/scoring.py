@@ -8,6 +8,8 @@ from threadloom.functions import text as tx
 from threadloom.functions.vectors import hash_vectors, with_hash_vector
 from threadloom.operators import decode, pairs
 from threadloom.operators.normalize import positions
+from threadloom.operators.probes import PROBES, run_probes
+from threadloom.operators.similarity_probes import simmax  # noqa: F401  registers the text probes
 from threadloom.plans import tables as t
 from threadloom.plans.registry import query
 from threadloom.plans.shaping import md5_mod_sql
@@ -92,6 +94,18 @@ def w03_text(spark, sf):
     return pairs.most_similar(with_hash_vector(t.turns(spark, sf)))
 
 
+@query("u01_all_probes")
+def u01(spark, sf):
+    """Every registered probe over the same turns: messages, predicted roots, and mean distance."""
+    names = sorted(PROBES)
+    got = run_probes(t.turns(spark, sf), names)
+    root = F.col("child") == F.col("parent")
+    return got.groupBy("algorithm").agg(
+        F.countDistinct(F.struct("conv_id", "child")).alias("n_messages"), F.count_if(root).alias("n_self"),
+        F.round(F.avg(F.when(~root, F.col("child") - F.col("parent"))), 6).alias("mean_distance"),
+    )
+
+
 BL = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SQUEEZED = f"regexp_replace(lower(text), '{BL}+', '', 'g')"
 WORDS = f"list_filter(string_split_regex(lower(text), '{BL}+'), lambda w: w <> '')"
