@@ -148,21 +148,27 @@ def trace(msgs: DataFrame, preds: DataFrame, queries: DataFrame, max_hops: int =
     """For every (query_id, dataset, conv_id, pos): its parent chain and its thread context.
 
     Rows are (query_id, .., pos, hop, relation).  The chain follows the first unvisited parent for
-    at most ``max_hops`` and records all parents on the way.  Two rounds then add messages within
-    ``band`` whose predicted parent is already in the thread.
+    at most ``max_hops`` and records all parents on the way; ``preds`` may carry ``rank``, the
+    predictor's order of a message's parents, else the smallest position comes first.  Two rounds
+    then add messages within ``band`` whose predicted parent is already in the thread; messages
+    with ``is_system`` (if ``msgs`` has it) stay out of that context.
     """
     key = ["query_id", *CONV]
-    links = preds.where("child <> parent").select(*CONV, "child", "parent")
+    rank = F.col("rank").cast("long") if "rank" in preds.columns else F.col("parent")
+    links = preds.where("child <> parent").select(*CONV, "child", "parent", rank.alias("_rank"))
     cur = materialize(queries.select(*key, "pos"), "trace")
     seen = cur.select(*key, "pos", F.lit(0).alias("hop"), F.lit("query").alias("relation"))
     for hop in range(1, max_hops + 1):
-        up = cur.join(links.withColumnRenamed("child", "pos"), [*CONV, "pos"]).select(*key, F.col("parent").alias("pos"))
+        up = cur.join(links.withColumnRenamed("child", "pos"), [*CONV, "pos"]).groupBy(*key, F.col("parent").alias("pos")).agg(F.min("_rank").alias("_rank"))
         new = materialize(up.join(seen.select(*key, "pos"), [*key, "pos"], "left_anti"), "trace")
         if new.isEmpty():
             break
         seen = seen.unionByName(new.select(*key, "pos", F.lit(hop).alias("hop"), F.lit("direct-parent").alias("relation")))
-        cur = new.groupBy(*key).agg(F.min("pos").alias("pos"))
+        cur = new.groupBy(*key).agg(F.min_by("pos", F.struct("_rank", "pos")).alias("pos"))
     front = seen.select(*key, "pos")
+    if "is_system" in msgs.columns:
+        system = msgs.where("is_system").select(*CONV, F.col("pos").alias("child"))
+        links = links.join(system, [*CONV, "child"], "left_anti")
     for _ in range(2):
         kids = front.withColumnRenamed("pos", "parent").join(links, [*CONV, "parent"]).where(F.abs(F.col("child") - F.col("parent")) < band)
         new = kids.select(*key, F.col("child").alias("pos")).distinct().join(seen.select(*key, "pos"), [*key, "pos"], "left_anti")
