@@ -174,7 +174,8 @@ def verified(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
             both = np.bincount(row[1:][(row[1:] == row[:-1]) & (key[1:] == key[:-1])], minlength=len(t))
             yield from t.select(["a", "b"]).filter(pa.array((100 * both >= percent * (n - both)) & (both > 0))).to_batches()
 
-    side = lambda k: rows.select(F.col("_at").alias(k), F.col("text").alias(f"t{k}"))
+    # both sides grow with the data, so the plan never depends on one being small
+    side = lambda k: rows.select(F.col("_at").alias(k), F.col("text").alias(f"t{k}")).hint("merge")
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
@@ -276,7 +277,7 @@ def linked_across(members: DataFrame, classes: DataFrame, rows: DataFrame, least
     cols = ["_bucket", "band", "rep", "comp", "n_shingles", "registers"]
     dealt = got.select(*cols).repartition("_bucket").sortWithinPartitions("_bucket")
     likely_ones = materialize(dealt.mapInArrow(find, "_bucket bigint, band bigint, rep bigint, comp bigint"), "likely")
-    full = likely_ones.join(rows.select(F.col("_at").alias("rep"), "text"), "rep").select("_bucket", "band", "rep", "comp", "text")
+    full = likely_ones.join(rows.select(F.col("_at").alias("rep"), "text").hint("merge"), "rep").select("_bucket", "band", "rep", "comp", "text")
     return full.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(confirm, "a bigint, b bigint").distinct()
 
 
