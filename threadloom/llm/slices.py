@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from threadloom.llm.ragged import chunks, flat, runs, sliding_min
 
 #: Bytes of text, before packing, whose slices one bucket gets on average.
-BUCKET_BYTES = 5_000_000
+BUCKET_BYTES = 8_000_000
 
 _PACKED = "part int, text binary, places binary, gone binary"
 _SPANS = "at bigint, tag int, start int, stop int"
-_PLACE = [("at", "i8"), ("tag", "i4"), ("start", "i4"), ("n", "i4"), ("low", "u4"), ("multi", "u1")]
-_GONE = [("at", "i8"), ("tag", "i4"), ("start", "i4"), ("stop", "i4")]
-_ZSTD = pa.Codec("zstd", 3)
+_PLACE = [("at", "i8"), ("tag", "i2"), ("start", "i4"), ("n", "i4"), ("low", "u4"), ("multi", "u1")]
+_GONE = [("at", "i8"), ("tag", "i2"), ("start", "i4"), ("stop", "i4")]
+_ZSTD = pa.Codec("zstd", 6)
 
 
 @dataclass
@@ -52,7 +52,7 @@ Settle = Callable[[list[bytes], dict], dict]
 def placed(messages: DataFrame) -> DataFrame:
     """(at, tag, row): the place of a message, and all its columns as one struct, so that no name clashes."""
     at = F.coalesce(F.col("msg_id").cast("long"), F.lit(-(2**63)))
-    tag = F.hash(F.coalesce("text", F.lit("")))
+    tag = F.pmod(F.hash(F.coalesce("text", F.lit(""))), F.lit(1 << 15))
     return messages.select(at.alias("at"), tag.alias("tag"), F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"))
 
 
@@ -80,7 +80,7 @@ def _pack(columns: dict, layout: list) -> bytes:
     for name, kind in layout:
         x = np.asarray(columns[name]).astype(kind)
         x = np.diff(x, prepend=x[:1] * 0) if name == "at" and len(x) else x
-        out.append(x.tobytes())
+        out.append(x.view("u1").reshape(len(x), x.itemsize).T.tobytes())  # equal bytes of the numbers stand together
     body = b"".join(out)
     return len(columns["at"]).to_bytes(8, "little") + _ZSTD.compress(body, asbytes=True) if body else b""
 
@@ -92,9 +92,10 @@ def _unpack(blob: bytes, layout: list) -> dict:
     body = _ZSTD.decompress(blob[8:], n * sum(np.dtype(k).itemsize for _, k in layout), asbytes=True)
     out, pos = {}, 0
     for name, kind in layout:
-        x = np.frombuffer(body, kind, n, pos)
+        size = np.dtype(kind).itemsize
+        x = np.frombuffer(body, "u1", n * size, pos).reshape(size, n).T.copy().view(kind)[:, 0]
         out[name] = np.cumsum(x) if name == "at" else x
-        pos += x.nbytes
+        pos += n * size
     return out
 
 
