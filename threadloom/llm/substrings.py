@@ -14,7 +14,7 @@ from threadloom.llm.slices import Slices, buckets_for, deal, later_windows, merg
 
 #: Words of a window and of the minimiser that deals it.
 WINDOW = 20
-MINIMISER = 5
+MINIMISER = 4
 
 
 def drop_repeated_passages(messages: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
