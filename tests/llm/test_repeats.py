@@ -145,3 +145,16 @@ def test_pack_round_trip():
     got = slices._unpack(slices._pack(cols, slices._PLACE), slices._PLACE)
     assert all(got[k].tolist() == [int(x) for x in v] for k, v in cols.items())
     assert slices._parted(slices._join([b"a", b"", b"bc"])) == [b"a", b"", b"bc"]
+
+
+def test_buckets_without_a_repeat(spark, monkeypatch):
+    """Slices that share a minimiser but no window, and buckets with nothing at all."""
+    rng = random.Random(12)
+    shared = " ".join(f"s{k}" for k in range(8))
+    rows = [(i, " ".join(f"u{rng.random()}" for _ in range(14)) + f" {shared} " + " ".join(f"v{rng.random()}" for _ in range(14))) for i in range(25)]
+    df = spark.createDataFrame(rows, "msg_id long, text string")
+    for parts in (1, 40):
+        monkeypatch.setattr(substrings, "buckets_for", lambda x, parts=parts: parts)
+        monkeypatch.setattr(suffixes, "buckets_for", lambda x, parts=parts: parts)
+        assert {r.n_removed for r in substrings.drop_repeated_passages(df).collect()} == {0}
+        assert {r.n_removed for r in suffixes.drop_repeated_strings(df, 60, 8).collect()} == {0}

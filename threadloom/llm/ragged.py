@@ -157,7 +157,7 @@ def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the runs that begin where ``breaks`` is true (the first entry is)."""
+    """Start and length of the runs that begin where ``breaks`` is true; the first entry is, so there is at least one row."""
     s = np.flatnonzero(breaks)
     return s, np.diff(np.append(s, len(breaks)))
 

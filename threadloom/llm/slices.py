@@ -202,6 +202,8 @@ def _rows(spans: dict) -> pa.RecordBatch:
 
 def later_windows(group: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of windows that are later than the first of their group, and of that first one."""
+    if not len(group):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort([start, at, group])
     g = group[order]
     s, n = runs(np.concatenate([[True], g[1:] != g[:-1]]))
