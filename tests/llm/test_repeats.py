@@ -158,3 +158,46 @@ def test_buckets_without_a_repeat(spark, monkeypatch):
         monkeypatch.setattr(suffixes, "buckets_for", lambda x, parts=parts: parts)
         assert {r.n_removed for r in substrings.drop_repeated_passages(df).collect()} == {0}
         assert {r.n_removed for r in suffixes.drop_repeated_strings(df, 60, 8).collect()} == {0}
+
+
+def hot_corpus(copies: int) -> list[tuple[int, str]]:
+    """One short phrase, one passage and one edge of a passage in every row, each between words of its own."""
+    rng = random.Random(31)
+    own = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    passage, edge = own(40), own(12)
+    rows = [(i, f"{own(30)} the very same phrase here {own(30)} {passage} {own(9)} {edge} {'end ' * 12}") for i in range(copies)]
+    return [*rows, (copies, "ha " * 150), (copies + 1, "ha " * 130), (3, rows[3][1])]
+
+
+def test_hot_minimisers_are_dealt_by_window(spark, monkeypatch):
+    """No bucket holds the slices of a common minimiser, and the result is that of counting every window."""
+    monkeypatch.setattr(slices, "HOT_SAMPLE", 1)
+    rows = hot_corpus(60)
+    df = spark.createDataFrame(rows, "msg_id long, text string").repartition(5)
+    monkeypatch.setattr(substrings, "buckets_for", lambda x: 9)
+    monkeypatch.setattr(suffixes, "buckets_for", lambda x: 9)
+    for limit in (0, 2_000, 1 << 40):
+        monkeypatch.setattr(slices, "HOT_BYTES", limit)
+        units = {k: words(t) for k, t in rows}
+        want = covered(units, 20)
+        for r in substrings.drop_repeated_passages(df).collect():
+            assert (r.n_removed, r.kept_text.encode()) == (sum(want[r.msg_id]), b" ".join(w for w, c in zip(units[r.msg_id], want[r.msg_id]) if not c))
+        units = {k: t.encode() for k, t in rows}
+        want = covered(units, 100)
+        for r in suffixes.drop_repeated_strings(df).collect():
+            assert bytes(r.kept_bytes) == bytes(b for b, c in zip(units[r.msg_id], want[r.msg_id]) if not c)
+
+
+def test_a_bucket_gets_a_bounded_part_of_a_hot_minimiser(spark, monkeypatch):
+    monkeypatch.setattr(slices, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(slices, "HOT_BYTES", 4_000)
+    rows = slices.placed(spark.createDataFrame(hot_corpus(120), "msg_id long, text string"))
+    cut = lambda raw, off: substrings.super_kmers(raw, off, 20, 4)
+    dealt = slices.deal(rows, cut, 20, 16, lambda s: substrings.single_windows(s, 20)).collect()
+    held, lone = Counter(), Counter()
+    for r in dealt:
+        for low in slices._unpack(r.places, slices._PLACE)["low"].tolist():
+            held[low] += 1
+        lone[r.part] += len(slices._unpack(r.hot, slices._HOT)["at"])
+    assert max(held.values()) < 60 and sum(lone.values()) > 1000
+    assert max(lone.values()) < sum(lone.values()) / 4

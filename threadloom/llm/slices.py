@@ -5,6 +5,9 @@ windows have equal minimisers, so they meet in one bucket, and a slice carries e
 only about three times instead of once a window.  Slices that are equal inside a task are sent
 once.  A bucket works out which windows also start earlier and says so as spans of the message.
 
+A minimiser with more than ``HOT_BYTES`` of slices is hot: its windows are dealt one by one, by a
+128-bit digest of the whole window, so equal ones still meet and no bucket holds a hot minimiser.
+
 A place is (``at``, ``tag``, ``start``): the message id (a null id counts as one id, before all
 others), a hash of the text that tells apart rows which repeat an id, and the first unit.
 """
@@ -13,21 +16,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.ragged import chunks, flat, runs, sliding_min
+from threadloom.llm.ragged import chunks, flat, ranges, runs, sliding_min
 
 #: Bytes of text, before packing, whose slices one bucket gets on average.
 BUCKET_BYTES = 8_000_000
+#: Bytes of slices of one minimiser from which on it is hot, estimated from one text in ``HOT_SAMPLE``
+#: and every text of ``HOT_TEXT`` bytes.  The estimate only decides how windows are dealt, never what is found.
+HOT_BYTES = 8_000_000
+HOT_SAMPLE = 16
+HOT_TEXT = 1 << 20
 
-_PACKED = "part int, text binary, places binary, gone binary"
+_PACKED = "part int, text binary, places binary, gone binary, hot binary"
 _SPANS = "at bigint, tag int, start int, stop int"
 _PLACE = [("at", "i8"), ("tag", "i2"), ("start", "i4"), ("n", "i4"), ("low", "u4"), ("multi", "u1")]
 _GONE = [("at", "i8"), ("tag", "i2"), ("start", "i4"), ("stop", "i4")]
+_HOT = [("at", "i8"), ("tag", "i2"), ("start", "i4"), ("a", "u8"), ("b", "u8")]
 _ZSTD = pa.Codec("zstd", 6)
 
 
@@ -47,6 +57,8 @@ class Slices:
 Cut = Callable[[np.ndarray, np.ndarray], Slices]
 #: settle(slices, places) -> spans of windows that also start earlier
 Settle = Callable[[list[bytes], dict], dict]
+#: single(slice) -> its windows
+Single = Callable[[bytes], list[bytes]]
 
 
 def placed(messages: DataFrame) -> DataFrame:
@@ -75,6 +87,30 @@ def minimiser_runs(grams: np.ndarray, width: int, valid: np.ndarray):
     return valid[s], n, value[s].astype(np.uint32), low[s] != low[s + n - 1]
 
 
+def hot_minimisers(messages: DataFrame, cut: Cut) -> np.ndarray:
+    """Minimisers whose slices, once for each task that holds them, have more than ``HOT_BYTES``.
+
+    There are at most as many as the slices of all texts have multiples of that.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches):
+            s = cut(*flat(t["text"]))
+            if not s.text:
+                continue
+            once = np.fromiter(dict(zip(reversed(s.text), range(len(s.text) - 1, -1, -1), strict=True)).values(), np.int64)
+            size = np.fromiter((len(s.text[k]) for k in once), np.int64, len(once)) * t["weight"].to_numpy()[s.row[once]]
+            low, back = np.unique(s.low[once], return_inverse=True)
+            total = np.bincount(back, size).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(total)], ["low", "size"])
+
+    long = F.coalesce(F.octet_length("row.text") >= HOT_TEXT, F.lit(False))
+    some = messages.where(long | (F.pmod(F.xxhash64("at", "tag", "row.text"), F.lit(HOT_SAMPLE)) == 0))
+    sizes = some.select("row.text", F.when(long, 1).otherwise(HOT_SAMPLE).cast("long").alias("weight")).mapInArrow(work, "low bigint, size bigint")
+    hot = sizes.groupBy("low").agg(F.sum("size").alias("size")).where(F.col("size") > HOT_BYTES).collect()
+    return np.array(sorted(r.low for r in hot), np.uint32)
+
+
 def _pack(columns: dict, layout: list) -> bytes:
     out = []
     for name, kind in layout:
@@ -128,8 +164,29 @@ def _take(columns: dict, idx: np.ndarray) -> dict:
     return {k: v[idx] for k, v in columns.items()}
 
 
-def deal(messages: DataFrame, cut: Cut, width: int, parts: int) -> DataFrame:
-    """One row for each chunk and bucket: packed slices, their places, and spans already settled."""
+def _singles(s: Slices, mine: np.ndarray, single: Single) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice, first unit, digest as two numbers) of every window of the slices ``mine``."""
+    n = s.n[mine].astype(np.int64)
+    digest = np.empty((int(n.sum()), 2), np.uint64)
+    at = 0
+    for i, k in zip(mine.tolist(), n.tolist(), strict=True):
+        digest[at : at + k] = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in single(s.text[i])), np.uint64).reshape(-1, 2)
+        at += k
+    return np.repeat(mine, n), ranges(s.start[mine], n), digest
+
+
+def _settle_digests(a: np.ndarray, b: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of one digest only the first stays: (index that stays, index of later ones)."""
+    order = np.lexsort([start, at, b, a])
+    new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))[: len(order)]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
+    return order[new], later_windows(group, at, start)[0]
+
+
+def deal(messages: DataFrame, cut: Cut, width: int, parts: int, single: Single) -> DataFrame:
+    """One row for each chunk and bucket: packed slices, their places, spans already settled, windows of hot minimisers."""
+    hot = hot_minimisers(messages, cut)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
@@ -141,17 +198,29 @@ def deal(messages: DataFrame, cut: Cut, width: int, parts: int) -> DataFrame:
             place = {"at": at[s.row], "tag": tag[s.row], "start": s.start, "n": s.n, "low": s.low, "multi": s.multi}
             stay, later = _settle_equal(s.text, place)
             part = (s.low % np.uint32(parts)).astype(np.int64)
+            is_hot = np.isin(s.low[stay], hot)
+            of, start, digest = _singles(s, stay[is_hot], single)
+            one, again = _settle_digests(digest[:, 0], digest[:, 1], place["at"][of], start)
+            loose = merged(of[again], start[again], place, width)
+            one = one[np.argsort(digest[one, 0] % np.uint64(parts), kind="stable")]
+            to = (digest[one, 0] % np.uint64(parts)).astype(np.int64)
+            ones = {"at": place["at"][of[one]], "tag": place["tag"][of[one]], "start": start[one], "a": digest[one, 0], "b": digest[one, 1]}
+            stay = stay[~is_hot]
             stay, later = stay[np.argsort(part[stay], kind="stable")], later[np.argsort(part[later], kind="stable")]
-            which = np.unique(part)
-            cuts = [np.searchsorted(part[x], [which, which + 1]) for x in (stay, later)]
-            rows = {"part": [], "text": [], "places": [], "gone": []}
+            which = np.unique(np.concatenate([part, to]))
+            cuts = [np.searchsorted(x, [which, which + 1]) for x in (part[stay], part[later], to)]
+            rows = {"part": [], "text": [], "places": [], "gone": [], "hot": []}
+            if len(loose["at"]):  # settled already: any bucket passes them on
+                for k, v in (("part", int(which[0])), ("text", _compress(_join([]))), ("places", b""), ("gone", _pack(loose, _GONE)), ("hot", b"")):
+                    rows[k].append(v)
             for k, p in enumerate(which.tolist()):
-                mine, gone = (x[c[0, k] : c[1, k]] for x, c in zip((stay, later), cuts, strict=True))
+                mine, gone, lone = (x[c[0, k] : c[1, k]] for x, c in zip((stay, later, np.arange(len(one))), cuts, strict=True))
                 rows["part"].append(p)
                 rows["text"].append(_compress(_join([s.text[i] for i in mine])))
                 rows["places"].append(_pack(_take(place, mine), _PLACE))
                 rows["gone"].append(_pack(_spans(_take(place, gone), width), _GONE))
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("part", pa.int32()), ("text", pa.binary()), ("places", pa.binary()), ("gone", pa.binary())]))
+                rows["hot"].append(_pack(_take(ones, lone), _HOT))
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("text", "places", "gone", "hot"))]))
 
     return messages.select("at", "tag", "row.text").mapInArrow(work, _PACKED)
 
@@ -171,13 +240,19 @@ def settle(dealt: DataFrame, windows: Settle, width: int, parts: int) -> DataFra
     """Spans (at, tag, start, stop) of units that a window covers which also starts earlier."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, places = [], []
+        text, places, ones = [], [], []
         for batch in batches:
-            for row in batch.select(["text", "places", "gone"]).to_pylist():
+            for row in batch.select(["text", "places", "gone", "hot"]).to_pylist():
                 text += _parted(_decompress(row["text"]))
                 places.append(_unpack(row["places"], _PLACE))
                 if row["gone"]:
                     yield _rows(_unpack(row["gone"], _GONE))
+                if row["hot"]:
+                    ones.append(_unpack(row["hot"], _HOT))
+        if ones:
+            one = {k: np.concatenate([x[k] for x in ones]) for k, _ in _HOT}
+            _, later = _settle_digests(one["a"], one["b"], one["at"], one["start"])
+            yield _rows(_spans(_take(one | {"n": np.ones(len(one["at"]), np.int32)}, later), width))
         if not text:
             return
         place = {k: np.concatenate([p[k] for p in places]) for k, _ in _PLACE}

@@ -26,7 +26,8 @@ def drop_repeated_passages(messages: DataFrame, window: int = WINDOW, minimiser:
     Words are runs of ``[^\\x20\\x09-\\x0D]``, compared byte by byte.  Earlier: smaller ``msg_id``,
     or the same message and an earlier word; windows are judged on the input.  Consecutive windows
     with one minimiser form a super-k-mer that goes to the minimiser's bucket as one packed string;
-    the bucket sorts the windows and compares the equal ones byte by byte.
+    the bucket sorts the windows and compares the equal ones byte by byte.  Windows of a minimiser
+    that is too common for one bucket are dealt one by one and compared by 128-bit digests.
 
     Null or empty text: no words, ``kept_text`` is empty.  A null ``msg_id`` comes before all
     others.  Rows that repeat a ``msg_id`` stand at the same place and do not remove each other's
@@ -34,8 +35,8 @@ def drop_repeated_passages(messages: DataFrame, window: int = WINDOW, minimiser:
     """
     rows = placed(messages.drop("n_words", "n_removed", "kept_text"))
     parts = buckets_for(rows)
-    spans = settle(deal(rows, lambda raw, off: super_kmers(raw, off, window, minimiser), window, parts), lambda text, place: _windows(text, place, window), window, parts)
-    return _keep(with_spans(rows, spans))
+    dealt = deal(rows, lambda raw, off: super_kmers(raw, off, window, minimiser), window, parts, lambda s: single_windows(s, window))
+    return _keep(with_spans(rows, settle(dealt, lambda text, place: _windows(text, place, window), window, parts)))
 
 
 def super_kmers(raw: np.ndarray, off: np.ndarray, window: int, minimiser: int) -> Slices:
@@ -51,6 +52,11 @@ def super_kmers(raw: np.ndarray, off: np.ndarray, window: int, minimiser: int) -
     return Slices(text, row, at - w.first[row], n, low, multi)
 
 
+def single_windows(piece: bytes, window: int) -> list[bytes]:
+    words = piece.split(b" ")
+    return [b" ".join(words[k : k + window]) for k in range(len(words) - window + 1)]
+
+
 def _starts(first: np.ndarray, window: int) -> np.ndarray:
     """Words at which a window of one text starts."""
     return ranges(first[:-1], np.maximum(np.diff(first) - window + 1, 0))
