@@ -25,10 +25,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays: the one of the smallest id."""
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    kept = near_duplicates(as_messages(docs)).where("kept").select(key("msg_id").alias("_id"))
-    return docs.withColumn("_id", key("doc_id")).join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    """One document of each component of near duplicates stays: the one of the smallest id.
+
+    Rows are told apart by a number of their own, so texts alone decide: rows of different text stay
+    even if their id is null or repeated.  A null id is the smallest; among rows of one id a hash
+    of the row decides, so the same row stays in every run.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("msg_id"), "text")).select(F.col("msg_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"), "_row")
+    first = rows.select("_row", place.alias("_place")).join(found, "_row").groupBy("component_id").agg(F.min("_place").alias("_place"))
+    return rows.join(first.select(F.col("_place._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,21 @@ def test_stages_of_an_empty_table(spark, corpus):
 
 def test_one_query_for_each_number():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))
+
+
+def test_near_duplicates_of_rows_without_an_id_of_their_own(spark, corpus):
+    """Null and repeated ids: a row goes only where its text is near that of a row that stays."""
+    path, texts, _ = corpus
+    rows = [(None, texts[k]) for k in range(5)] + [(7, texts[k]) for k in (5, 6)] + [(8, texts[7]), (7, texts[7] + " end")]
+    rows += [(9, texts[8]), (9, texts[8]), (None, texts[9]), (3, texts[9]), (None, texts[10]), (None, texts[10] + " end"), (10, None), (10, ""), (None, None)]
+    docs = [(k, t, "en", "s", len(t) if t else 0) for k, t in rows]
+    stay = None
+    for parts in (1, 3, 4):
+        got = corpus_pipeline.near(spark, spark.createDataFrame(docs[::-1] if parts == 3 else docs, DOCS).repartition(parts), path)
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        left = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+        assert stay in (None, left)
+        stay = left
+    ends = [r for r in stay if r in ((None, texts[10]), (None, texts[10] + " end"))]
+    want = rows[:7] + [rows[8], rows[9], rows[11], *ends, *rows[15:]]
+    assert len(ends) == 1 and stay == sorted(want, key=repr)
