@@ -98,3 +98,59 @@ def test_align_does_not_cross_texts():
     index = cont.passages([(1, "abcdefghijklmnopqrstuvwx" * 2)])
     assert cont.matched(["abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwx"], index) == [[], []]
     assert np.all(index["need"] >= 1)
+
+
+def replaced(rng, s, every):
+    """Two words of five or more letters replaced in every ``every`` characters."""
+    words, at, left = s.split(" "), 0, {}
+    for k, w in enumerate(words):
+        if len(w) >= 5:
+            left.setdefault(at // every, []).append(k)
+        at += len(w) + 1
+    for ks in left.values():
+        for k in rng.sample(ks, min(2, len(ks))):
+            words[k] = "".join(rng.choice("bgjkqvxz") for _ in words[k])
+    return " ".join(words)
+
+
+def test_excerpts_at_any_offset():
+    rng = random.Random(6)
+    items = [(k, text(rng, 50)) for k in range(8)]
+    index = cont.passages(items)
+    texts, want = [], []
+    for k in range(300):
+        key, item = rng.choice(items)
+        item = norm(item)
+        n = rng.choice([50, 58, 75, 93, 110, 134])
+        at = rng.randrange(len(item) - n)
+        piece = item[at : at + n]
+        if k % 3 == 1:
+            for p in rng.sample(range(50), 3):
+                piece = piece[:p] + "q" + piece[p + 1 :]
+        elif k % 3 == 2:  # replaced words outside 50 characters that stay
+            keep = rng.randrange(n - 49)
+            piece = replaced(rng, piece[:keep], 100) + piece[keep : keep + 50] + replaced(rng, piece[keep + 50 :], 100)
+        texts.append(text(rng, rng.randrange(30)) + "! " + piece + " !" + text(rng, rng.randrange(30)))
+        want.append(key)
+    got = cont.matched(texts, index)
+    assert all(key in {m["item_id"] for m in found} for key, found in zip(want, got))
+    assert all(cont.matched([t], index) == [found] for t, found in zip(texts[:30], got))
+
+
+def test_items_with_replaced_words():
+    """Of whole items with two words replaced in every 100 characters most are found."""
+    rng = random.Random(8)
+    items = [(k, text(rng, 50)) for k in range(100)]
+    index = cont.passages(items)
+    found = cont.matched([text(rng, 20) + " " + replaced(rng, norm(t), 100) + " " + text(rng, 20) for _, t in items], index)
+    n = sum(k in {m["item_id"] for m in f} for (k, _), f in zip(items, found))
+    print("found", n)
+    assert n >= 60
+
+
+def test_parts_of_an_item_in_neighbouring_texts():
+    rng = random.Random(7)
+    item = norm(text(rng, 60))
+    index = cont.passages([(1, item)])
+    got = cont.matched([item[:120], item[120:], item[:40], item[40:80], "of " + item[200:]], index)
+    assert [len(f) for f in got] == [1, 1, 0, 0, 1]

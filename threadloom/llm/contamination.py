@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from threadloom.llm.letters import END, blanks_squeezed, texts_of
-from threadloom.llm.ragged import chunks, mix, ranges, rolling
+from threadloom.llm.ragged import chunks, mix, ranges, rolling, runs
 
 #: Characters of a q-gram.
 Q = 12
-#: Characters of a passage and the step between the passages of an item; the last one ends with it.
-PASSAGE = 100
-STEP = 50
+#: Characters of a passage and the step between the passages of an item.
+PASSAGE = 50
+STEP = 1
 #: Edits a passage may have, in hundredths of its length.
 EDITS = 7
+#: Of candidate passages that follow each other, one in so many is aligned first; the others only if none of those matches.
+AHEAD = 16
 #: Characters of benchmark text that are broadcast at a time; a larger benchmark takes several passes.
 PIECE_CHARS = 4_000_000
 
@@ -27,39 +29,38 @@ _FILTER_BITS = 22
 
 
 def passages(items: list[tuple[int, str]]) -> dict:
-    """Passages of the items and their q-grams, sorted by hash.
+    """The passages of the items, and the q-grams of the items sorted by hash.
 
     A passage of m characters with k edits shares at least m - Q + 1 - k * Q q-grams with its match.
+    Items stand in ``codes`` one after another; a passage is a stretch of them (``first``, ``size``).
     """
-    item, codes = [], []
-    for key, text in items:
-        x = blanks_squeezed([text])[1:-2] if (text or "").strip() else np.zeros(0, np.uint32)
-        n = len(x)
-        last = max(n - PASSAGE, 0)
-        for at in sorted({*range(0, last, STEP), last}) if n else []:
-            item.append(key)
-            codes.append(x[at : at + PASSAGE])
-    size = np.array([len(c) for c in codes], np.int64)
+    codes = [blanks_squeezed([text])[1:-2] if (text or "").strip() else np.zeros(0, np.uint32) for _, text in items]
+    length = np.array([len(c) for c in codes], np.int64)
+    base = np.cumsum(length) - length
+    count = np.where(length > 0, np.maximum(length - PASSAGE, 0) // STEP + 1, 0)
+    of = np.repeat(np.arange(len(items)), count)
+    size = np.minimum(length, PASSAGE)[of]
     edits = size * EDITS // 100
     need = size - Q + 1 - edits * Q
     edits = np.where(need < 1, np.maximum(size - Q, 0) // Q, edits)
-    first = np.cumsum(size) - size
-    flat = np.concatenate([*codes, np.zeros(Q, np.uint32)]).astype(np.uint64)
-    n = np.maximum(size - Q + 1, 0)
-    at = ranges(first, n)
-    key = mix(rolling(flat, Q))[at] if len(at) else np.zeros(0, np.uint64)
+    flat = np.concatenate([*codes, np.zeros(Q, np.uint32)]).astype(np.uint32)
+    n = np.maximum(length - Q + 1, 0)
+    at = ranges(base, n)
+    key = mix(rolling(flat.astype(np.uint64), Q))[at] if len(at) else np.zeros(0, np.uint64)
     order = np.argsort(key, kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[key >> np.uint64(64 - _FILTER_BITS)] = True
-    owner = np.repeat(np.arange(len(size)), n)[order]
+    owner = np.repeat(np.arange(len(items)), n)
     return {
-        "item": np.array(item, np.int64), "codes": flat, "first": first, "size": size, "edits": edits,
-        "need": size - Q + 1 - edits * Q, "key": key[order], "owner": owner, "offset": (at - first[np.repeat(np.arange(len(size)), n)])[order], "seen": seen,
+        "item": np.array([k for k, _ in items], np.int64)[of], "codes": flat, "first": base[of] + STEP * ranges(np.zeros(len(items), np.int64), count),
+        "size": size.astype(np.int16), "edits": edits.astype(np.int16), "need": (size - Q + 1 - edits * Q).astype(np.int16),
+        "length": length, "passages": np.cumsum(count) - count, "count": count,
+        "key": key[order], "owner": owner[order].astype(np.int32), "offset": (at - base[owner])[order].astype(np.int32), "seen": seen,
     }
 
 
 def hits(codes: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, passage, offset) of every q-gram that the texts share with a passage."""
+    """(place, item number, offset in the item) of every q-gram that the texts share with an item."""
     none = np.zeros(0, np.int64)
     if len(codes) < Q or not len(index["key"]):
         return none, none, none
@@ -69,22 +70,44 @@ def hits(codes: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray, np.nda
     hi = np.searchsorted(index["key"], key[at], side="right")
     n = hi - lo
     where = ranges(lo, n)
-    return np.repeat(at, n), index["owner"][where], index["offset"][where]
+    return np.repeat(at, n), index["owner"][where].astype(np.int64), index["offset"][where].astype(np.int64)
 
 
-def regions(codes: np.ndarray, index: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, first diagonal) of bands with enough shared q-grams.
+def regions(codes: np.ndarray, index: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, first diagonal, band) of every passage that shares enough q-grams with a band.
 
-    Bands of 2 * ``width`` diagonals start every ``width``; a match of fewer than ``width`` edits
-    keeps to one of them.  Texts follow each other, so a diagonal also tells the text.
+    Bands of 2 * ``width`` diagonals of an item start every ``width``; a match of fewer than
+    ``width`` edits keeps to one of them.  Texts follow each other, so a diagonal also tells the
+    text.  Passages of one item on one band follow each other.
     """
-    place, passage, offset = hits(codes, index)
-    band = (place - offset + PASSAGE) // width
-    both = np.concatenate([passage << 40 | band, passage << 40 | np.maximum(band - 1, 0)])
-    key, n = np.unique(both, return_counts=True)
-    enough = n >= index["need"][key >> 40]
-    key = key[enough]
-    return key >> 40, (key & ((1 << 40) - 1)) * width - PASSAGE
+    place, item, offset = hits(codes, index)
+    shift = width * (int(index["length"].max(initial=0)) // width + 2)
+    band = (place - offset + shift) // width
+    key, offset = np.concatenate([item << 40 | band, item << 40 | (band - 1)]), np.concatenate([offset, offset])
+    _, group, n = np.unique(key, return_inverse=True, return_counts=True)
+    least = index["need"][np.minimum(index["passages"][key >> 40], max(len(index["need"]) - 1, 0))] if len(key) else n[group]
+    enough = n[group] >= least
+    key, offset = key[enough], offset[enough]
+    order = np.lexsort([offset, key])
+    key, offset = key[order], offset[order]
+    if not len(key):
+        return (np.zeros(0, np.int64),) * 3
+    s, n = runs(np.append(True, key[1:] != key[:-1]))
+    item = key[s] >> 40
+    reach = np.minimum(index["length"][item], PASSAGE) - Q
+    lo = np.maximum(-(-(offset[s] - reach) // STEP), 0)
+    hi = np.minimum(offset[s + n - 1] // STEP, index["count"][item] - 1)
+    many = np.maximum(hi - lo + 1, 0)
+    g = np.repeat(np.arange(len(s)), many)
+    k = ranges(lo, many)
+    far = int(index["length"].max()) + 2 * PASSAGE
+    sorted_hits = np.repeat(np.arange(len(s)), n) * far + offset
+    begin = g * far + k * STEP
+    passage = index["passages"][item[g]] + k
+    shared = np.searchsorted(sorted_hits, begin + reach[g], side="right") - np.searchsorted(sorted_hits, begin)
+    enough = shared >= index["need"][passage]
+    g, k, passage = g[enough], k[enough], passage[enough]
+    return passage, (key[s[g]] & ((1 << 40) - 1)) * width - shift + k * STEP, g
 
 
 def align(codes: np.ndarray, passage: np.ndarray, diagonal: np.ndarray, index: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,36 +140,63 @@ def align(codes: np.ndarray, passage: np.ndarray, diagonal: np.ndarray, index: d
 
 
 def matched(texts: list[str | None], index: dict) -> list[list[dict]]:
-    """For each text its matches (item_id, edits, start, stop): one for each passage and place."""
+    """For each text its matches (item_id, edits, start, stop): one for each item and place."""
     codes = blanks_squeezed(texts)
     out: list[list[dict]] = [[] for _ in texts]
     width = int(index["edits"].max(initial=0)) + 1
-    passage, diagonal = regions(codes, index, width)
+    passage, diagonal, band = regions(codes, index, width)
+    if not len(passage):
+        return out
     text = texts_of(codes)
     begin = np.searchsorted(text, np.arange(len(texts)))
+    # passages that follow each other on one band and in one text; the place in the middle tells the text
+    middle = text[np.clip(diagonal + width + index["size"][passage] // 2, 0, len(text) - 1)]
+    s, n = runs(np.append(True, (band[1:] != band[:-1]) | (passage[1:] != passage[:-1] + 1) | (middle[1:] != middle[:-1])))
+    run = np.repeat(np.arange(len(s)), n)
+    ahead = (np.arange(len(passage)) - s[run]) % AHEAD == 0
+    ok = _aligned(codes, passage[ahead], diagonal[ahead], index, width)
+    done = np.zeros(len(s), bool)
+    done[run[ahead][ok[0]]] = True
+    rest = ~ahead & ~done[run]
+    more = _aligned(codes, passage[rest], diagonal[rest], index, width)
+    p = np.concatenate([passage[ahead][ok[0]], passage[rest][more[0]]])
+    edits, end = (np.concatenate([x, y]) for x, y in zip(ok[1:], more[1:], strict=True))
+    item, row = index["item"][p], text[np.clip(end - 1, 0, len(text) - 1)]
+    order = np.lexsort([edits, end, item, row])
+    item, row, p, edits, end = (x[order] for x in (item, row, p, edits, end))
+    if not len(p):
+        return out
+    # matches of one item that overlap are one place, told by the one of fewest edits
+    place, _ = runs(np.append(True, (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (end[1:] - end[:-1] >= index["size"][p[1:]])))
+    of = np.cumsum(np.isin(np.arange(len(p)), place))
+    best = np.lexsort([np.arange(len(p)), edits, of])
+    best = best[np.append(True, np.diff(of[best]) > 0)]
+    for r, x, e, stop, size in zip(*(v.tolist() for v in (row[best], item[best], edits[best], end[best], index["size"][p[best]])), strict=True):
+        stop -= int(begin[r]) + 1
+        out[r].append({"item_id": x, "edits": e, "start": max(0, stop - size), "stop": stop})
+    return out
+
+
+def _aligned(codes: np.ndarray, passage: np.ndarray, diagonal: np.ndarray, index: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the passages that match, their edits and where they end."""
+    found = [(np.zeros(0, np.int64),) * 3]
     for at in range(0, len(passage), 5000):
         p, d = passage[at : at + 5000], diagonal[at : at + 5000]
         edits, end = align(codes, p, d, index, width)
-        ok = edits <= index["edits"][p]
-        p, edits, end = p[ok], edits[ok], end[ok]
-        order = np.lexsort([edits, end, p])
-        p, edits, end = p[order], edits[order], end[order]
-        keep = np.append(True, (p[1:] != p[:-1]) | (end[1:] - end[:-1] > 2 * width))[: len(p)]
-        for x, e, stop in zip(p[keep].tolist(), edits[keep].tolist(), end[keep].tolist(), strict=True):
-            row = int(text[min(max(stop - 1, 0), len(text) - 1)])
-            stop -= int(begin[row]) + 1
-            out[row].append({"item_id": int(index["item"][x]), "edits": e, "start": max(0, stop - int(index["size"][x])), "stop": stop})
-    return out
+        ok = np.flatnonzero(edits <= index["edits"][p])
+        found.append((at + ok, edits[ok], end[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def find_contamination(messages: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Add ``contaminated``, ``n_items`` and ``matches`` to messages.
 
     messages(text, ...), benchmark(item_id, text).  Texts are compared in lower case with runs of
-    white space as one blank, positions are characters of that form.  Items are cut into passages of
-    PASSAGE characters every STEP (a shorter item is one passage); a message is contaminated where a
-    passage occurs with at most EDITS hundredths of its length in edits.  So any piece of an item of
-    PASSAGE + STEP - 1 characters is found.  Shared q-grams are counted in overlapping diagonal
+    white space as one blank, positions are characters of that form.  Every stretch of PASSAGE
+    characters of an item, from any offset, is a passage (a shorter item is one as a whole); a
+    message is contaminated where a passage occurs with at most EDITS hundredths of its length in
+    edits.  So any piece of an item of PASSAGE characters is found, and an item with replaced words
+    where PASSAGE characters between them are left.  Shared q-grams are counted in overlapping diagonal
     bands, bands that meet the edit budget's bound are aligned, and the alignment decides.
     ``matches`` is an array of (item_id, edits, start, stop), ``n_items`` its distinct items.
 
