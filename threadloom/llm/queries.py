@@ -12,6 +12,7 @@ from threadloom.llm.contamination import find_contamination
 from threadloom.llm.language import identify_languages, language_model
 from threadloom.llm.mixing import curriculum
 from threadloom.llm.near import near_duplicates
+from threadloom.llm.personal import BASE, find_personal_data
 from threadloom.llm.quality import quality_rules
 from threadloom.llm.substrings import drop_repeated_passages
 from threadloom.llm.suffixes import drop_repeated_strings
@@ -203,3 +204,13 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     msgs = turns.select(F.lit("turns").alias("dataset"), F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("pos"), F.col("role").alias("author"), "text")
     out = chat_samples(msgs)
     return out.select(F.col("conv_id").cast("long").alias("conv_id"), "part", F.col("n_messages").alias("n_turns"), "n_quotes", "n_linked", "chat")
+
+
+@query("op12_personal_data")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    out = find_personal_data(documents(spark, sf).select("msg_id", "text"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    base = listed(of(*BASE))
+    return out.select(F.col("msg_id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
