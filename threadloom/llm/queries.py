@@ -18,6 +18,7 @@ from threadloom.llm.substrings import drop_repeated_passages
 from threadloom.llm.suffixes import drop_repeated_strings
 from threadloom.llm.tokens import token_counts
 from threadloom.llm.toxicity import score_toxicity, toxicity_model
+from threadloom.llm.trie import prefix_trie
 from threadloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +215,47 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
     base = listed(of(*BASE))
     return out.select(F.col("msg_id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def turn_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations -> messages: a turn is a message of the dataset ``turns``, its role the author."""
+    turns = tune(spark).read.parquet(f"{sf}/conversations.parquet")
+    return turns.select(F.lit("turns").alias("dataset"), "conv_id", F.col("turn").alias("pos"), F.col("role").alias("author"), "text")
+
+
+@query(
+    "op13_prefix_trie",
+    """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY k) AS l FROM t GROUP BY 1),
+h AS (
+  SELECT conv_id, l, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: unicode(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda i: 0::BIGINT)), lambda c, i: xor(c >> 1, 3988292384::BIGINT * (c & 1))))) % 9 AS h
+  FROM own),
+rb AS (
+  SELECT h.conv_id, CASE WHEN b.l IS NULL THEN h.l[h + 1:] ELSE list_concat(b.l[1:h], h.l[h + 1:]) END AS l
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+mem AS (SELECT conv_id, d, l[1:d] AS p, d = len(l) AS ends FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM rb)),
+node AS MATERIALIZED (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS e,
+         (count(*) - 1) * CASE WHEN d > 0 THEN strlen(p[d].x) ELSE 0 END AS w
+  FROM mem GROUP BY d, p),
+kid AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+tree AS MATERIALIZED (SELECT node.*, coalesce(kid.n, 0) AS n_children FROM node LEFT JOIN kid ON node.d = kid.d AND node.p = kid.p),
+sub AS (
+  SELECT a AS d, p[1:a] AS p, sum(w)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM tree) GROUP BY ALL)
+SELECT t.conv_id, t.d AS depth, u.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(t.e, '')) AS ends_sha256
+FROM tree t JOIN sub s ON t.d = s.d AND t.p = s.p LEFT JOIN tree u ON u.d = t.d - 1 AND u.p = t.p[1:t.d - 1]
+""",
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    msgs = turn_messages(spark, sf)
+    n_head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    heads = msgs.where("conv_id is not null").select("dataset", "conv_id").distinct().select("dataset", "conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base_conv_id"), n_head.alias("n_head"))
+    out = prefix_trie(msgs, heads)
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
