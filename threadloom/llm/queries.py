@@ -12,6 +12,7 @@ from threadloom.llm.contamination import find_contamination
 from threadloom.llm.language import identify_languages, language_model
 from threadloom.llm.mixing import curriculum
 from threadloom.llm.near import near_duplicates
+from threadloom.llm.negatives import hard_negatives
 from threadloom.llm.personal import BASE, find_personal_data
 from threadloom.llm.quality import quality_rules
 from threadloom.llm.substrings import drop_repeated_passages
@@ -259,3 +260,30 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     heads = msgs.where("conv_id is not null").select("dataset", "conv_id").distinct().select("dataset", "conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base_conv_id"), n_head.alias("n_head"))
     out = prefix_trie(msgs, heads)
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query(
+    "op11_hard_negatives",
+    """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank,
+       n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 3
+""",
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = tune(spark).read.parquet(f"{sf}/embeddings.parquet")
+    thread = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    msgs = vectors.select(F.col("vec_id").alias("msg_id"), thread.alias("thread"), F.col("embedding").alias("vector"))
+    out = hard_negatives(msgs, F.col("msg_id") % 50 == 0)
+    return out.withColumnsRenamed({f"{who}_msg_id": f"{who}_id" for who in ("anchor", "positive", "negative")})
