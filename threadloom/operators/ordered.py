@@ -65,20 +65,35 @@ def running_sum(
     limit: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the group (the row itself excluded)."""
+    out = _running(df, keys, order, value, name, limit, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return out.withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def running_max(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    limit: int | None = None,
+) -> DataFrame:
+    """Largest ``value`` among the earlier rows of the group; null if there is none."""
+    return _running(df, keys, order, value, name, limit, F.max, F.greatest)
+
+
+def _running(df, keys, order, value: Column, name: str, limit: int | None, of, both) -> DataFrame:
     before = Window.unboundedPreceding, -1
     if fits(df, keys, limit):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
-        return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+        return df.withColumn(name, of(value).over(w))
     laid = lay_out(df.withColumn("_v", value), keys, order)
-    per_seg = laid.groupBy("_seg", *keys).agg(F.sum("_v").alias("_total"))
+    per_seg = laid.groupBy("_seg", *keys).agg(of("_v").alias("_total"))
     over = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(*before)
-    carry = per_seg.withColumn("_carry", F.sum("_total").over(over)).where("_carry is not null")
+    carry = per_seg.withColumn("_carry", of("_total").over(over)).where("_carry is not null")
     w = Window.partitionBy("_seg", *keys).orderBy(*order).rowsBetween(*before)
-    local = laid.withColumn("_local", F.coalesce(F.sum("_v").over(w), F.lit(0)))
+    local = laid.withColumn("_local", of("_v").over(w))
     out = _with_carry(local, carry, keys, ["_carry"])
-    return out.withColumn(name, F.col("_local") + F.coalesce("_carry", F.lit(0))).drop(
-        "_v", "_local", "_carry", "_seg"
-    )
+    return out.withColumn(name, both(F.col("_local"), F.col("_carry"))).drop("_v", "_local", "_carry", "_seg")
 
 
 def number_rows(

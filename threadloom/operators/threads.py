@@ -9,15 +9,18 @@ from threadloom.operators.graph import components
 from threadloom.schema import CONV
 
 
-def past_threads(msgs: DataFrame, edges: DataFrame, upto: int, limit: int | None = None) -> DataFrame:
+def past_threads(msgs: DataFrame, edges: DataFrame, upto: int | DataFrame, limit: int | None = None) -> DataFrame:
     """(conversation, pos, thread, size, earliest, max_prob, n_speakers) over edges of messages before ``upto``.
 
+    ``upto`` is a position, or a table (conversation, upto) of them; conversations without one know no edge.
     ``edges`` may carry ``prob`` (1 without it); ``thread`` is the smallest position in it.  Every
     message is a thread of its own until an edge joins it; the figures are aggregated by thread, so
     no conversation is gathered.  Messages without an author count no speaker.
     """
     prob = F.col("prob") if "prob" in edges.columns else F.lit(1.0)
-    known = edges.where((F.col("child") < upto) & (F.col("parent") < F.col("child"))).select(*CONV, "child", "parent", prob.alias("prob"))
+    cut = F.lit(upto) if isinstance(upto, int) else F.col("upto")
+    timed = edges if isinstance(upto, int) else edges.join(upto.select(*CONV, "upto"), CONV)
+    known = timed.where((F.col("child") < cut) & (F.col("parent") < F.col("child"))).select(*CONV, "child", "parent", prob.alias("prob"))
     comp = components(msgs, known.select(*CONV, "child", "parent").distinct(), limit=limit).withColumnRenamed("comp", "thread")
     best = known.groupBy(*CONV, F.col("child").alias("pos")).agg(F.max("prob").alias("prob"))
     rows = msgs.select(*CONV, "pos", "author").join(comp, [*CONV, "pos"]).join(best, [*CONV, "pos"], "left")

@@ -83,14 +83,17 @@ def g06(spark, sf):
     return graph.depth(t.messages(spark, sf), t.gold(spark, sf), root=1)
 
 
-@query("g10_past_threads", GRAPH + ", gp AS (SELECT * FROM gold WHERE child < 60)" + components_sql("gp", "comps") + """
+@query("g10_past_threads", GRAPH + """, cut AS (SELECT conv_id, count(*) // 2 AS upto FROM msgs GROUP BY 1),
+  gp AS (SELECT gold.* FROM gold JOIN cut USING (conv_id) WHERE child < upto)""" + components_sql("gp", "comps") + """
   , s AS (SELECT m.dataset, c.conv_id, c.comp, count(*) AS size, min(c.pos) AS earliest, count(DISTINCT m.author) AS n_speakers,
                  max(CASE WHEN (m.conv_id, m.pos) IN (SELECT (conv_id, child) FROM gp) THEN 1.0 ELSE 0.0 END)::DOUBLE AS max_prob
           FROM comps c JOIN msgs m ON c.conv_id = m.conv_id AND c.pos = m.pos GROUP BY ALL)
   SELECT s.dataset, c.conv_id, c.pos, c.comp AS thread, size, earliest, max_prob, n_speakers FROM comps c JOIN s ON c.conv_id = s.conv_id AND c.comp = s.comp""")
 def g10(spark, sf):
-    """Threads as they stood before the 61st message of each conversation."""
-    return past_threads(t.messages(spark, sf), t.gold(spark, sf), 60)
+    """Threads as they stood when half of each conversation's messages had come."""
+    msgs = t.messages(spark, sf)
+    cut = msgs.groupBy(*CONV).agg((F.count("*") / 2).cast("long").alias("upto"))
+    return past_threads(msgs, t.gold(spark, sf), cut)
 
 
 CONV_SQL = f"""WITH RECURSIVE {t.MSGS}, {t.GOLD}, {t.PREDS},

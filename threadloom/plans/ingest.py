@@ -146,9 +146,39 @@ def f13(spark, sf):
     return addressed_users(said)
 
 
-@query("g11_thread_features")
+@query("g11_thread_features", f"""WITH RECURSIVE {t.MSGS}, {t.GOLD},
+  und AS (SELECT conv_id, child AS a, parent AS b, child AS at FROM gold UNION ALL SELECT conv_id, parent, child, child FROM gold),
+  reach AS (SELECT conv_id, child AS i, parent AS c, parent AS x FROM gold
+    UNION SELECT r.conv_id, r.i, r.c, u.b FROM reach r JOIN und u ON r.conv_id = u.conv_id AND r.x = u.a AND u.at < r.i),
+  st AS (SELECT r.conv_id, r.i, r.c, count(*) AS size, min(r.x) AS first, count(*) FILTER (m.author = w.author) AS same
+    FROM reach r JOIN msgs m ON m.conv_id = r.conv_id AND m.pos = r.x JOIN msgs w ON w.conv_id = r.conv_id AND w.pos = r.i GROUP BY ALL),
+  gap AS (SELECT g.conv_id, g.child AS i, g.parent AS c, min(g.child - h.child) FILTER (h.child < g.child) AS near
+    FROM gold g JOIN gold h ON g.conv_id = h.conv_id AND g.parent = h.parent GROUP BY ALL)
+  SELECT g.dataset, st.conv_id, st.i, st.c, round(ln(1 + size), 6) AS log_size, round(same / size, 6) AS same_ratio, round(least(100, st.i - first) / 100, 6) AS span,
+    (size > 1)::INT::DOUBLE AS max_prob, (size > 1)::INT::DOUBLE AS in_thread, round(ln(1 + coalesce(near, 100)), 6) AS reply_gap
+  FROM st JOIN gap USING (conv_id, i, c) JOIN gold g ON g.conv_id = st.conv_id AND g.child = st.i AND g.parent = st.c""")
 def g11(spark, sf):
-    from threadloom.operators.online import thread_features
+    from threadloom.operators.merges import thread_features
 
     m, g = t.messages(spark, sf), t.gold(spark, sf)
-    return thread_features(m, g, g.select(*CONV, F.col("child").alias("i"), F.col("parent").alias("c")))
+    got = thread_features(m, g, g.select(*CONV, F.col("child").alias("i"), F.col("parent").alias("c")))
+    return got.withColumns({c: F.round(c, 6) for c in ("log_size", "same_ratio", "span", "reply_gap")})
+
+
+@query("g11_thread_cohesion", f"""WITH RECURSIVE {t.MSGS}, {t.GOLD},
+  und AS (SELECT conv_id, child AS a, parent AS b, child AS at FROM gold UNION ALL SELECT conv_id, parent, child, child FROM gold),
+  reach AS (SELECT conv_id, child AS i, parent AS c, parent AS x FROM gold
+    UNION SELECT r.conv_id, r.i, r.c, u.b FROM reach r JOIN und u ON r.conv_id = u.conv_id AND r.x = u.a AND u.at < r.i),
+  v AS (SELECT conv_id, pos, [1.0, (msg_id % 7)::DOUBLE - 3, (msg_id % 11)::DOUBLE - 5] AS v FROM msgs),
+  s AS (SELECT r.conv_id, i, c, [sum(v[1]), sum(v[2]), sum(v[3])] AS s FROM reach r JOIN v ON v.conv_id = r.conv_id AND v.pos = r.x GROUP BY ALL)
+  SELECT 'events' AS kind, s.conv_id, i, c, round(list_inner_product(s, v) / (sqrt(list_inner_product(s, s)) * sqrt(list_inner_product(v, v)) + 1e-9), 6) AS cohesion
+  FROM s JOIN v ON v.conv_id = s.conv_id AND v.pos = s.i""")
+def g11_cohesion(spark, sf):
+    """Cosine of a message and the summed vectors of its parent's thread; vectors from the event number."""
+    from threadloom.operators.merges import thread_features
+
+    m, g = t.messages(spark, sf), t.gold(spark, sf)
+    part = lambda k, off: F.col("msg_id") % k - off
+    vectors = m.select(*CONV, "pos", F.array(F.lit(1), part(7, 3), part(11, 5)).cast("array<double>").alias("vec"))
+    got = thread_features(m, g, g.select(*CONV, F.col("child").alias("i"), F.col("parent").alias("c")), vectors)
+    return got.select(F.lit("events").alias("kind"), "conv_id", "i", "c", F.round("cohesion", 6).alias("cohesion"))
