@@ -1,12 +1,17 @@
 """From documents to a training mix: language, near duplicates, repeated passages, benchmark leaks, mixing.
 
 A document is one message of the stream named by its source.  Every stage takes and, but for the
-last, returns the columns of ``documents``.
+last, returns the columns of ``documents``; further columns, of any name, pass through.  The result
+of a stage is written before the next one begins, which then deletes the tables that earlier
+stages have left behind, so the disk holds those of one stage at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.contamination import find_contamination
@@ -15,15 +20,53 @@ from threadloom.llm.mixing import curriculum
 from threadloom.llm.near import near_duplicates
 from threadloom.llm.queries import as_messages, cyclic_schedules
 from threadloom.llm.substrings import drop_repeated_passages
-from threadloom.session import materialize, tune
+from threadloom.session import intermediates, materialize, release, tune
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables of the stages that ran before, by application.
+_LEFT: dict[str, list[str]] = {}
+
+
+def tidy(stage: Stage) -> Stage:
+    """Delete what earlier stages wrote (unless ``docs`` still reads it) before this one begins."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
+        release(spark, left, unless=docs)
+        with intermediates() as paths:
+            out = stage(spark, docs, sf_dir)
+        left += paths
+        return out
+
+    return run_stage
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``text`` and all other columns as one, so that no name of theirs meets an operator's."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_doc"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again; ``changed`` ones from ``rows``."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c if c == "text" else f"_doc.`{c}`") for c in docs.columns])
+
+
+@tidy
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are of no language (no text, or no letter in it) go; mixed ones stay."""
-    found = identify_languages(docs, language_model(docs))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Documents that are of no language (no text, or no letter in it) go; mixed ones stay.
+
+    Where no document has a language label, nothing can be learned and all with a letter stay.
+    """
+    model = language_model(docs.select("text", "lang"))
+    rows = packed(docs)
+    if not model["langs"]:
+        return unpacked(rows.where(F.col("text").rlike("\\p{L}")), docs)
+    return unpacked(identify_languages(rows, model).where(F.col("lang_pred") != UNKNOWN), docs)
 
 
+@tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays: the one of the smallest id.
 
@@ -31,28 +74,35 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     even if their id is null or repeated.  A null id is the smallest; among rows of one id a hash
     of the row decides, so the same row stays in every run.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    place = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_doc"), place.alias("_place"), F.monotonically_increasing_id().alias("_row"))
+    rows = materialize(rows, "rows")
     found = near_duplicates(rows.select(F.col("_row").alias("msg_id"), "text")).select(F.col("msg_id").alias("_row"), "component_id")
-    place = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"), "_row")
-    first = rows.select("_row", place.alias("_place")).join(found, "_row").groupBy("component_id").agg(F.min("_place").alias("_place"))
-    return rows.join(first.select(F.col("_place._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    ranked = rows.select("_row", F.struct("_place", "_row").alias("_first"))
+    first = ranked.join(found, "_row").groupBy("component_id").agg(F.min("_first").alias("_first"))
+    return unpacked(rows.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi"), docs)
 
 
+@tidy
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that also start earlier leave the text; documents stay."""
-    cut = drop_repeated_passages(docs.withColumnRenamed("doc_id", "msg_id")).withColumnRenamed("msg_id", "doc_id")
+    rows = packed(docs).withColumn("msg_id", F.col("_doc.doc_id").cast("long"))
+    cut = drop_repeated_passages(rows)
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("_doc.n_chars"))
+    return unpacked(cut, docs, **new)
 
 
+@tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark passage go."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("not contaminated").select(*docs.columns)
+    found = find_contamination(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return unpacked(found.where("not contaminated"), docs)
 
 
+@tidy
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words to take of each document and its place in training, in that order."""
     msgs = as_messages(docs)

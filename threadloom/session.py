@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,5 +77,35 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = table_path(spark, name)
+    for paths in _KEEPERS:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_KEEPERS: list[list[str]] = []
+
+
+@contextmanager
+def intermediates() -> Iterator[list[str]]:
+    """The paths of all tables that :func:`materialize` writes inside the block, to be released once nobody reads them."""
+    paths: list[str] = []
+    _KEEPERS.append(paths)
+    try:
+        yield paths
+    finally:
+        # by identity: two lists of the same paths are equal
+        del _KEEPERS[next(k for k, held in enumerate(_KEEPERS) if held is paths)]
+
+
+def release(spark: SparkSession, paths: list[str], unless: DataFrame | None = None) -> None:
+    """Delete written tables, also their entries in ``paths``; those that ``unless`` reads stay."""
+    kept = [f for f in unless.inputFiles()] if unless is not None else []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(paths):
+        name = path.rsplit("/", 1)[1]
+        if any(f"/{name}/" in f for f in kept):
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        paths.remove(path)
