@@ -64,7 +64,7 @@ def test_stages_of_an_empty_table(spark, corpus):
 
 
 def test_one_query_for_each_number():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 14))
 
 
 def test_near_duplicates_of_rows_without_an_id_of_their_own(spark, corpus):
@@ -83,3 +83,34 @@ def test_near_duplicates_of_rows_without_an_id_of_their_own(spark, corpus):
     ends = [r for r in stay if r in ((None, texts[10]), (None, texts[10] + " end"))]
     want = rows[:7] + [rows[8], rows[9], rows[11], *ends, *rows[15:]]
     assert len(ends) == 1 and stay == sorted(want, key=repr)
+
+
+def test_extra_columns_of_any_name_pass_through(spark, corpus):
+    path, rows, _ = corpus
+    names = ["msg_id", "score", "lang_mix", "matches", "n_items", "n_words", "n_removed", "_row", "_place", "_doc", "contaminated", "kept_text", "a b"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", *[f"concat('{k}', doc_id) `{n}`" for k, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert docs.count() == 62
+    for r in docs.collect():
+        assert [r[n] for n in names] == [f"{k}{r.doc_id}" for k in range(len(names))]
+
+
+def test_without_labels_all_texts_with_a_letter_stay(spark, corpus):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 ..", None, "s", 5), (3, None, None, None, None), (4, "é", None, "s", 1)], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, corpus[0]).collect()} == {1, 4}
+
+
+def test_stages_delete_what_earlier_ones_left(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    corpus_pipeline.near(spark, docs, corpus[0]).write.parquet(str(tmp_path / "near"))
+    left = corpus_pipeline._LEFT[spark.sparkContext.applicationId]
+    assert left
+    before, docs = list(left), spark.read.parquet(str(tmp_path / "near"))
+    corpus_pipeline.decontamination(spark, docs, corpus[0]).count()
+    assert not set(before) & set(left)
+    # a result that is still to be computed keeps its tables
+    lazy = corpus_pipeline.near(spark, docs, corpus[0])
+    assert corpus_pipeline.language(spark, lazy, corpus[0]).count() == lazy.count()
