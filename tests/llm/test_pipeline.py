@@ -113,4 +113,4 @@ def test_stages_delete_what_earlier_ones_left(spark, corpus, tmp_path):
     assert not set(before) & set(left)
     # a result that is still to be computed keeps its tables
     lazy = corpus_pipeline.near(spark, docs, corpus[0])
-    assert corpus_pipeline.language(spark, lazy, corpus[0]).count() == lazy.count()
+    assert corpus_pipeline.language(spark, lazy, corpus[0]).count() == lazy.count() - 3  # those without a letter
