@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import chain_metrics as cm
 from threadloom.operators import edge_metrics as em
-from threadloom.operators import graph
+from threadloom.operators import graph, paths
 from threadloom.operators.threads import past_threads
 from threadloom.plans import tables as t
 from threadloom.plans.registry import query
@@ -50,6 +50,27 @@ def g02(spark, sf):
     return got.select(*CONV, cm.whole("n_paths"))
 
 
+# every path with the order of its listing: the root ascending, then the largest child first
+LISTED = FOREST + """, walk AS (SELECT dataset, conv_id, pos AS at, [pos] AS path, [pos] AS ord FROM forest WHERE is_root
+  UNION ALL SELECT w.dataset, w.conv_id, g.child, list_append(w.path, g.child), list_append(w.ord, -g.child) FROM walk w JOIN gold g ON w.conv_id = g.conv_id AND w.at = g.parent),
+  ranked AS (SELECT w.dataset, w.conv_id, row_number() OVER (PARTITION BY w.conv_id ORDER BY ord) - 1 AS rank, array_to_string(path, '-') AS path,
+    count(*) OVER (PARTITION BY w.conv_id) AS n_paths FROM walk w JOIN forest f ON w.conv_id = f.conv_id AND w.at = f.pos AND f.is_leaf)"""
+
+
+@query("g02_first_paths", GRAPH + LISTED + " SELECT dataset, conv_id, rank, path, n_paths, n_paths >= 2000 AS truncated FROM ranked WHERE rank < 2000")
+def g02_first(spark, sf):
+    got = paths.first_paths(t.messages(spark, sf), t.gold(spark, sf))
+    return got.select(*CONV, "rank", F.array_join("path", "-").alias("path"), cm.whole("n_paths"), "truncated")
+
+
+@query("u05_paths", GRAPH + LISTED + " SELECT conv_id, rank, path FROM ranked WHERE rank < 25")
+def u05(spark, sf):
+    """The table function from SQL: the first 25 paths of each conversation."""
+    paths.register_paths(spark)
+    paths.path_steps(t.messages(spark, sf), graph.valid_edges(t.gold(spark, sf))).createOrReplaceTempView("threadloom_steps")
+    return spark.sql("SELECT conv_id, rank, array_join(path, '-') AS path FROM first_paths(TABLE(threadloom_steps) PARTITION BY (dataset, conv_id) ORDER BY (node, before), 25)")
+
+
 @query("g03_components", GRAPH + ", gw AS (SELECT * FROM gold WHERE child - parent <= 100)" + components_sql("gw", "comps")
        + " SELECT m.dataset, c.conv_id, c.pos, c.comp FROM comps c JOIN msgs m USING (conv_id, pos)")
 def g03(spark, sf):
@@ -199,6 +220,32 @@ def m13(spark, sf):
     return rounded(cm.pooled(t.messages(spark, sf), t.gold(spark, sf), t.preds(spark, sf), t.NAMES))
 
 
+POOLED = """, e AS (SELECT algorithm, 'g' AS side, conv_id, child, parent FROM gold, algs UNION ALL SELECT algorithm, 'p', conv_id, child, parent FROM preds),
+  n AS (SELECT algorithm, side, dataset, conv_id, pos FROM msgs, algs, (SELECT unnest(['g', 'p']) AS side)),
+  w AS (SELECT n.*, [pos] AS path FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.algorithm = n.algorithm AND e.side = n.side AND e.conv_id = n.conv_id AND e.child = n.pos)
+    UNION ALL SELECT w.algorithm, w.side, w.dataset, w.conv_id, e.child, list_append(w.path, e.child) FROM w JOIN e ON e.algorithm = w.algorithm AND e.side = w.side AND e.conv_id = w.conv_id AND e.parent = w.pos),
+  tuples AS (SELECT algorithm, dataset, path, bool_or(side = 'g') AS g, bool_or(side = 'p') AS p FROM w
+    WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.algorithm = w.algorithm AND e.side = w.side AND e.conv_id = w.conv_id AND e.parent = w.pos) GROUP BY ALL),
+  np2 AS (SELECT algorithm, dataset, count(*) FILTER (g) AS n_gold_paths, count(*) FILTER (p) AS n_pred_paths, count(*) FILTER (g AND p) AS n_shared_paths FROM tuples GROUP BY ALL),
+  sets AS (SELECT algorithm, 'g' AS side, conv_id, list(pos ORDER BY pos) AS l FROM gcomp, algs GROUP BY algorithm, conv_id, gc
+    UNION ALL SELECT algorithm, 'p', conv_id, list(pos ORDER BY pos) FROM pcomp GROUP BY algorithm, conv_id, pc),
+  both2 AS (SELECT algorithm, dataset, l, bool_or(side = 'g') AS g, bool_or(side = 'p') AS p FROM sets JOIN (SELECT DISTINCT dataset, conv_id FROM msgs) USING (conv_id) GROUP BY ALL),
+  nc2 AS (SELECT algorithm, dataset, count(*) FILTER (g) AS n_gold_components, count(*) FILTER (p) AS n_pred_components, count(*) FILTER (g AND p) AS n_exact FROM both2 GROUP BY ALL),
+  rest AS (SELECT algorithm, dataset, sum(jaccard_sum) AS js, sum(n_anc_msgs)::BIGINT AS n_anc_msgs, count(*) FILTER (n_gold_paths >= 2000 OR n_pred_paths >= 2000) AS truncated_convs FROM cnt GROUP BY ALL)
+  SELECT algorithm, dataset, n_gold_paths, n_pred_paths, n_shared_paths, round(100.0 * n_shared_paths / n_pred_paths, 6) AS path_p, round(100.0 * n_shared_paths / n_gold_paths, 6) AS path_r,
+    CASE WHEN n_shared_paths > 0 THEN round(200.0 * n_shared_paths / (n_gold_paths + n_pred_paths), 6) ELSE 0.0 END AS path_f1, n_gold_components, n_pred_components, n_exact,
+    round(100.0 * n_exact / n_gold_components, 6) AS component_recall, round(100.0 * n_exact / n_pred_components, 6) AS component_precision,
+    round(100.0 * js / n_anc_msgs, 6) AS ancestor_jaccard, n_anc_msgs, truncated_convs
+  FROM np2 JOIN nc2 USING (algorithm, dataset) JOIN rest USING (algorithm, dataset)"""
+
+
+@query("m13_pooled", CHAIN + POOLED)
+def m13_sets(spark, sf):
+    """Paths and components as sets that forget the conversation."""
+    got = cm.pooled_sets(t.messages(spark, sf), t.gold(spark, sf), t.preds(spark, sf), t.NAMES)
+    return rounded(got, ["path_p", "path_r", "path_f1", "component_recall", "component_precision", "ancestor_jaccard"])
+
+
 MACRO = ", ".join(f"round(avg({c}), 6) AS {c}" for c in FRACTIONS[:-1])
 
 
