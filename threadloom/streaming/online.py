@@ -12,19 +12,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from threadloom.operators.graph import chase
 from threadloom.schema import CONV, HOUR_US
 from threadloom.session import table_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None, late: list[int] | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None, late: list[int] | None = None, idle: bool = True) -> DataFrame:
     """Process what is available and return the written result.
 
     ``batch=N`` folders make the sink idempotent: a repeated batch overwrites itself.  With
     ``folder`` rows and progress stay there, and a later call goes on where this one ended.
     ``late`` receives the number of rows that came behind the watermark and were dropped.
+    Without ``idle`` there are no batches without rows: state that expires by the clock asks for one
+    after the other, so such a run would not end.
     """
     spark = stream.sparkSession
     folder = folder or table_path(spark, "stream")
@@ -34,7 +38,13 @@ def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = N
         target = f"{out}/batch=0" if mode == "complete" else f"{out}/batch={batch}"
         df.write.mode("overwrite").parquet(target)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start()
+    switch = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(switch)
+    spark.conf.set(switch, str(idle).lower())
+    try:  # a query keeps the setting it started with
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(switch, before)
     query.awaitTermination()
     if late is not None:
         late.append(sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]))
@@ -99,34 +109,79 @@ def mention_edges(rows: DataFrame, window_us: int = 6 * HOUR_US, delay: str = "1
     return timed.groupBy(*keys).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def online_components(edges: DataFrame) -> DataFrame:
-    """Stream of (conversation, child, parent, comp): smallest member of the child's component so far.
+class _Joined(StatefulProcessor):
+    """Threads of one conversation: a map from a message to a smaller one of its thread; first messages have no entry.
 
-    Edges arrive in order of their child; the state of a conversation is its union-find table.
+    A batch reads and writes only the entries on the way from its own messages up, never the whole map.
     """
-    schema = "dataset string, conv_id string, child long, parent long, comp long"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        nodes, ups = st.get if st.exists else ([], [])
-        up = dict(zip(nodes, ups))
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.smaller = handle.getMapState("smaller", "pos long", "smaller long", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known: dict[int, int] = {}
+        fresh: set[int] = set()
 
-        def find(x: int) -> int:
-            up.setdefault(x, x)
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
+        def look(x: int) -> int:
+            if x not in known:
+                known[x] = self.smaller.getValue((x,))[0] if self.smaller.containsKey((x,)) else x
+            return known[x]
 
-        pdf = pd.concat(list(batches)).sort_values(["child", "parent"])
+        def first(x: int) -> int:
+            way = [x]
+            while look(way[-1]) != way[-1]:
+                way.append(known[way[-1]])
+            for y in way[:-1]:
+                if known[y] != way[-1]:
+                    known[y] = way[-1]
+                    fresh.add(y)
+            return way[-1]
+
+        batch = pd.concat(list(rows)).sort_values(["child", "parent"])
         out = []
-        for child, parent in zip(pdf["child"].tolist(), pdf["parent"].tolist()):
-            a, b = find(child), find(parent)
-            up[max(a, b)] = min(a, b)
-            out.append((*key, child, parent, min(a, b)))
-        st.update((list(up), list(up.values())))
-        yield pd.DataFrame(out, columns=[*CONV, "child", "parent", "comp"])
-
-    return edges.groupBy(*CONV).applyInPandasWithState(step, schema, "nodes array<long>, ups array<long>", "append", GroupStateTimeout.NoTimeout)
+        for child, parent in zip(batch["child"].tolist(), batch["parent"].tolist()):
+            low, high = sorted((first(child), first(parent)))
+            if low != high:
+                known[high] = low
+                fresh.add(high)
+            out.append((*key, child, parent, low, high if low != high else None))
+        for x in known if self.keep_ms else fresh:
+            if known[x] != x:
+                self.smaller.updateValue((x,), (known[x],))
+        yield pd.DataFrame(out, columns=[*CONV, "child", "parent", "comp", "lost"]).astype({"lost": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def online_components(edges: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Stream of (conversation, child, parent, comp, lost): the thread an edge leads to, and the one it ended.
+
+    ``comp`` is the smallest position of the thread so far; ``lost`` is what the other thread was
+    named until this edge (null if both ends were in one).  Edges of a batch are taken by child and
+    parent; a thread loses its name at most once, so :func:`final_components` finds the end state from
+    the rows alone, in whatever order batches came.
+
+    State is one entry a message in a map (RocksDB), of which a batch touches what its edges lead to.
+    With ``keep_ms`` entries untouched for that long expire, and such a thread starts anew (run it without
+    idle batches).
+    """
+    spark = edges.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "dataset string, conv_id string, child long, parent long, comp long, lost long"
+    mode = "processingTime" if keep_ms else "none"
+    return edges.groupBy(*CONV).transformWithStateInPandas(_Joined(keep_ms), schema, "append", mode)
+
+
+def final_components(rows: DataFrame) -> DataFrame:
+    """(conversation, pos, comp) after all edges, from the rows of :func:`online_components`."""
+    ends = chase(rows.where("lost is not null").select(*CONV, F.col("lost").alias("node"), F.col("comp").alias("up")), CONV)
+    ends = ends.select(*CONV, F.col("node").alias("pos"), F.col("up").alias("comp"))
+    seen = rows.select(*CONV, F.explode(F.array("child", "parent")).alias("pos")).distinct()
+    return seen.join(ends, [*CONV, "pos"], "left").withColumn("comp", F.coalesce("comp", "pos"))
 
 
 def weekly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
