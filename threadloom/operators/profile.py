@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.graph import depth
-from threadloom.operators.ordered import last_before, quantiles, running_sum
+from threadloom.operators.ordered import last_before, running_sum
 from threadloom.schema import CONV, WINDOW
+from threadloom.session import materialize
 
 
 def with_previous_time(msgs: DataFrame, limit: int | None = None) -> DataFrame:
@@ -56,45 +59,64 @@ def _pct(n: Column, total: Column) -> Column:
     return F.round(F.try_divide(100.0 * n, total), 6)
 
 
+def value_cells(df: DataFrame, **metrics: Column) -> DataFrame:
+    """(dataset, metric, x, n): how often each value of the metrics occurs; nulls are left out."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("x")) for k, v in metrics.items()])
+    return df.select("dataset", F.inline(pairs)).where("x is not null").groupBy("dataset", "metric", "x").agg(F.count("*").alias("n"))
+
+
 def reply_profile(msgs: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per dataset: sizes, participants, gaps, roots, lags, delays and depths."""
-    half = F.lit(0.5)
-    mention = F.contains("text", F.lit("<@"))
+    """One row per dataset: sizes, participants, gaps, roots, lags, delays and depths.
+
+    Every figure comes from one table of (metric, value, count) cells: sums and shares directly,
+    quantiles from the running counts of the values, so all metrics are ranked in one pass.
+    """
     conv = msgs.groupBy(*CONV).agg(
-        F.count("*").alias("size"), F.countDistinct("author").alias("people"), F.count_if(mention).alias("mentions")
-    )
-    sizes = conv.groupBy("dataset").agg(
-        F.count("*").alias("n_conv"), F.sum("size").alias("n_msg"), F.percentile("size", half).alias("size_median"),
-        F.round(F.avg("size"), 6).alias("size_mean"), F.percentile("people", half).alias("people_median"),
-        F.round(F.avg("people"), 6).alias("people_mean"), _pct(F.sum("mentions"), F.sum("size")).alias("mention_pct"),
-    )
-    gap = gaps(msgs)
-    gap_part = quantiles(gap, ["dataset"], {"q": (F.col("gap"), 0.5)}).select("dataset", F.floor("q").alias("gap_median_sec"))
-    kids = edges.groupBy(*CONV, "child").agg(F.count("*").alias("n"))
-    kid_part = kids.groupBy("dataset").agg(
-        F.count("*").alias("n_parented"), F.count_if(F.col("n") > 1).alias("n_multi"), F.sum("n").alias("n_edges")
+        F.count("*").alias("size"), F.countDistinct("author").alias("people"), F.count_if(F.contains("text", F.lit("<@"))).alias("mentions")
     )
+    kids = edges.groupBy(*CONV, "child").agg(F.count("*").alias("kids"))
     lag = lags(msgs, edges)
-    lag_part = lag.groupBy("dataset").agg(
-        F.percentile("lag", half).alias("lag_median"), _pct(F.count_if(F.col("lag") <= 5), F.count("*")).alias("lag_within5_pct"),
-        _pct(F.count_if(F.col("lag") > 20), F.count("*")).alias("lag_gt20_pct"), F.percentile(F.col("lag") - 1, half).alias("between_median"),
+    parts = [
+        value_cells(conv, size=F.col("size"), people=F.col("people"), mentions=F.col("mentions")),
+        value_cells(gaps(msgs), gap=F.col("gap")), value_cells(kids, kids=F.col("kids")),
+        value_cells(lag, lag=F.col("lag"), delay=F.col("delay")), value_cells(depth(msgs, edges), depth=F.col("depth")),
+    ]
+    cells = materialize(reduce(DataFrame.unionByName, parts), "cells")
+    ranked = running_sum(cells, ["dataset", "metric"], ["x"], F.col("n"), "before")
+    totals = cells.groupBy("dataset", "metric").agg(F.sum("n").alias("total"))
+    ranked = ranked.join(totals, ["dataset", "metric"])
+    # the rows of a rank: of (n - 1) p for quantiles between the ends, of p (n + 1) beyond them
+    inside = lambda p: (F.col("total") - 1) * p
+    outside = lambda p: p * (F.col("total") + 1) - 1
+    wanted = [("size_median", "size", inside(0.5)), ("people_median", "people", inside(0.5)), ("gap_median", "gap", inside(0.5)), ("lag_median", "lag", inside(0.5)),
+              ("delay_median", "delay", inside(0.5)), ("delay_p90", "delay", inside(0.9)), ("size_p90", "size", outside(0.9)), ("gap_p90", "gap", outside(0.9))]
+    picks = []
+    for name, metric, rank in wanted:
+        mine, low = F.col("metric") == metric, F.least(F.greatest(F.floor(rank), F.lit(0)), F.greatest(F.col("total") - 2, F.lit(0)))
+        at = lambda k, mine=mine: F.max(F.when(mine & (F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("x")))
+        picks += [at(low).alias(f"_a_{name}"), at(F.least(low + 1, F.col("total") - 1)).alias(f"_b_{name}"), F.max(F.when(mine, rank - low)).alias(f"_w_{name}"), F.max(F.when(mine, F.col("total"))).alias(f"_t_{name}")]
+    of = lambda metric, value, where=None: F.sum(F.when((F.col("metric") == metric) if where is None else (F.col("metric") == metric) & where, value))
+    n, weighed = F.col("n"), F.col("n") * F.col("x")
+    sums = {
+        "n_conv": of("size", n), "n_msg": of("size", weighed), "n_people": of("people", weighed), "n_mentions": of("mentions", weighed),
+        "n_parented": of("kids", n), "n_multi": of("kids", n, F.col("x") > 1), "n_edges": of("kids", weighed),
+        "n_lag": of("lag", n), "n_near": of("lag", n, F.col("x") <= 5), "n_far": of("lag", n, F.col("x") > 20),
+        "n_depth": of("depth", n), "all_depth": of("depth", weighed), "max_depth": F.max(F.when(F.col("metric") == "depth", F.col("x"))),
+    }
+    got = ranked.groupBy("dataset").agg(*picks, *[v.alias(k) for k, v in sums.items()])
+    q = {name: F.col(f"_a_{name}") + F.col(f"_w_{name}") * (F.col(f"_b_{name}") - F.col(f"_a_{name}")) for name, *_ in wanted}
+    for name in ("size_p90", "gap_p90"):
+        q[name] = F.when(F.col(f"_t_{name}") >= 10, q[name])
+    c, whole = F.col, lambda name: F.col(name).cast("long")
+    return got.select(
+        "dataset", "n_conv", whole("n_msg").alias("n_msg"), q["size_median"].alias("size_median"), F.round(c("n_msg") / c("n_conv"), 6).alias("size_mean"),
+        q["people_median"].alias("people_median"), F.round(c("n_people") / c("n_conv"), 6).alias("people_mean"), _pct(c("n_mentions"), c("n_msg")).alias("mention_pct"),
+        F.floor(q["gap_median"]).alias("gap_median_sec"), whole("n_edges").alias("n_edges"), q["lag_median"].alias("lag_median"),
+        _pct(c("n_near"), c("n_lag")).alias("lag_within5_pct"), _pct(c("n_far"), c("n_lag")).alias("lag_gt20_pct"), (q["lag_median"] - 1).alias("between_median"),
+        F.floor(q["delay_median"]).alias("delay_median_sec"), F.round(q["delay_p90"], 6).alias("delay_p90_sec"),
+        F.round(c("all_depth") / c("n_depth"), 6).alias("depth_mean"), whole("max_depth").alias("depth_max"), q["size_p90"].alias("size_p90"), F.floor(q["gap_p90"]).alias("gap_p90_sec"),
+        _pct(c("n_msg") - c("n_parented"), c("n_msg")).alias("root_pct"), _pct(c("n_multi"), c("n_msg")).alias("multi_parent_pct"), F.round(c("n_edges") / c("n_msg"), 6).alias("mean_parents"),
     )
-    delay = quantiles(lag, ["dataset"], {"_half": (F.col("delay"), 0.5), "_nine": (F.col("delay"), 0.9)})
-    delay_part = delay.select("dataset", F.floor("_half").alias("delay_median_sec"), F.round("_nine", 6).alias("delay_p90_sec"))
-    deep = depth(msgs, edges).groupBy("dataset").agg(F.round(F.avg("depth"), 6).alias("depth_mean"), F.max("depth").alias("depth_max"))
-    size_p90 = quantile_exclusive(conv, "dataset", "size", 0.9).withColumnRenamed("q", "size_p90")
-    gap_p90 = quantile_exclusive(gap, "dataset", "gap", 0.9).select("dataset", F.floor("q").alias("gap_p90_sec"))
-    out = sizes
-    for part in (gap_part, kid_part, lag_part, delay_part, deep, size_p90, gap_p90):
-        out = out.join(part, "dataset", "left")
-    n = F.col("n_msg")
-    return out.withColumns(
-        {
-            "root_pct": _pct(n - F.col("n_parented"), n),
-            "multi_parent_pct": _pct(F.col("n_multi"), n),
-            "mean_parents": F.round(F.col("n_edges") / n, 6),
-        }
-    ).drop("n_parented", "n_multi")
 
 
 def hour_histogram(msgs: DataFrame, edges: DataFrame) -> DataFrame:
