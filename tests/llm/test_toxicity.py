@@ -77,3 +77,13 @@ def test_odd_rows(spark, odd, nothing):
         assert len({r.score for r in got if r.msg_id in (2, 3, 4)}) == 1
         assert toxicity.score_toxicity(nothing, model).collect() == []
     assert toxicity.score_toxicity(nothing, toxicity.toxicity_model(nothing, none)).collect() == []
+
+
+def test_without_labels_nothing_is_toxic(spark, odd):
+    msgs = spark.createDataFrame(texts(3, 60)[0], "msg_id long, text string").unionByName(odd.select("msg_id", "text"))
+    none = spark.createDataFrame([], "msg_id long, toxic int")
+    clean = spark.createDataFrame([(k, 0) for k in range(40)], "msg_id long, toxic int")
+    for labels, score in ((none, 0.05), (clean, None)):
+        got = toxicity.score_toxicity(msgs, toxicity.toxicity_model(msgs, labels)).collect()
+        assert not any(r.predicted for r in got) and len({round(r.score, 9) for r in got}) == 1
+        assert score is None or abs(got[0].score - score) < 1e-9

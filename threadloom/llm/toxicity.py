@@ -139,6 +139,9 @@ def features(n: np.ndarray, count: np.ndarray, total: np.ndarray, best: np.ndarr
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
+    if not 0 < y.sum() < len(y):  # nothing to tell apart: the share of toxic ones, drawn to one in twenty
+        w[0] = np.log((y.sum() + 1) / (len(y) - y.sum() + 19))
+        return w
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, *[1.0] * (x.shape[1] - 1)])
@@ -152,7 +155,9 @@ def toxicity_model(messages: DataFrame, labels: DataFrame, size: int = SAMPLE) -
     messages(msg_id, text), labels(msg_id, toxic 0/1).  The prior counts every message; labels come
     from at most ``size`` labelled messages, a part of which only calibrates.  Segments of clean
     calibration messages give the extreme-value tail: a message of n words is expected to hold
-    rate * n * exp(-scale * s) segments that score s or more.
+    rate * n * exp(-scale * s) segments that score s or more.  If the calibrating messages are not of
+    both classes (or there are none), every text gets the same score: the share of toxic ones with a
+    prior of one in twenty, so nothing is predicted toxic without labels.
     """
     sample = sample_labels(labels, size)
     counts = np.zeros((3, 1 << BITS), np.int64)
