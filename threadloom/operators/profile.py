@@ -95,7 +95,7 @@ def reply_profile(msgs: DataFrame, edges: DataFrame) -> DataFrame:
         mine, low = F.col("metric") == metric, F.least(F.greatest(F.floor(rank), F.lit(0)), F.greatest(F.col("total") - 2, F.lit(0)))
         at = lambda k, mine=mine: F.max(F.when(mine & (F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("x")))
         picks += [at(low).alias(f"_a_{name}"), at(F.least(low + 1, F.col("total") - 1)).alias(f"_b_{name}"), F.max(F.when(mine, rank - low)).alias(f"_w_{name}"), F.max(F.when(mine, F.col("total"))).alias(f"_t_{name}")]
-    of = lambda metric, value, where=None: F.sum(F.when((F.col("metric") == metric) if where is None else (F.col("metric") == metric) & where, value))
+    of = lambda metric, value, where=True: F.sum(F.when(F.col("metric") == metric, F.when(F.lit(True) & where, value).otherwise(0)))
     n, weighed = F.col("n"), F.col("n") * F.col("x")
     sums = {
         "n_conv": of("size", n), "n_msg": of("size", weighed), "n_people": of("people", weighed), "n_mentions": of("mentions", weighed),
