@@ -36,8 +36,7 @@ def frames(spark, graphs):
     return spark.createDataFrame(nodes, CONVS + ", pos long"), spark.createDataFrame(edges, CONVS + ", child long, parent long")
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-@pytest.mark.parametrize("cap", [7, 2000])
+@pytest.mark.parametrize(("limit", "cap"), [(None, 7), (0, 2000)])
 def test_first_paths(spark, limit, cap):
     rng = random.Random(4)
     graphs = {f"c{k}": graph(rng, n, s, lone) for k, (n, s, lone) in enumerate([(1, 0, 0), (12, 0.5, 0.3), (14, 0.9, 0.1), (9, 0, 0.2), (20, 0.4, 0.9)])}

@@ -74,7 +74,7 @@ def several_parents(spark, seed, n, share=0.5):
     return msgs, edges, pairs, vecs, frames, vectors
 
 
-@pytest.mark.parametrize(("seed", "n", "rows"), [(1, 60, None), (2, 300, None), (5, 60, 20)])
+@pytest.mark.parametrize(("seed", "n", "rows"), [(1, 80, None), (5, 60, 20)])
 def test_all_features(spark, monkeypatch, seed, n, rows):
     """Every feature against its definition; also with groups above the size of a plain window."""
     if rows:
