@@ -65,7 +65,7 @@ def conversations(seed, n=40, words=3):
     return rows, heads + heads[:3] + [("a", "nobody", "c0", 2), (None, "c1", "c0", 1)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_brute_force(spark, seed):
     rows, heads = conversations(seed)
     found = prefix_trie(spark.createDataFrame(rows, MSG), spark.createDataFrame(heads, HEAD))
