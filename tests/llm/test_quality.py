@@ -52,6 +52,22 @@ def test_sketches_merge_and_small_groups_pool(spark):
     assert got["en", "s7" if ("en", "s7") in got else "s8"].word_length_hi > q[len(q) * 3 // 4] > got["en", "s1"].word_length_lo
 
 
+def test_fences_have_no_step_and_hold_the_quartiles(spark):
+    """A group that grows by one message moves its fences a little; even a small one lies within its own."""
+    rng = random.Random(8)
+    other = [("en", "big", 400 + rng.randrange(100), 0, 0, 0) for _ in range(300)]
+    mine = [("en", "small", 900 + rng.randrange(50), 0, 5, 0) for _ in range(130)]
+    schema = "lang string, dataset string, word_length long, symbol_rate long, dup_line_rate long, repeat_rate long"
+    seen = []
+    for n in (1, 3, 99, 100, 101, 130):
+        df = spark.createDataFrame(other + mine[:n], schema).withColumn("base_failed", F.lit(False))
+        table = {r._d: r for r in fences(sketches(df), df.groupBy("lang", "dataset").agg(F.count("*").alias("n"))).collect()}
+        seen.append((table["small"].word_length_lo, table["small"].word_length_hi, table["small"].dup_line_rate_hi))
+        values = sorted(r[2] for r in mine[:n])
+        assert seen[-1][0] <= values[len(values) // 4] and values[len(values) * 3 // 4] - 32 <= seen[-1][1] and seen[-1][2] >= 5
+    assert all(abs(a - b) <= 32 for x, y in zip(seen[2:4], seen[3:5]) for a, b in zip(x, y))
+
+
 def test_thresholds_follow_the_group(spark):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))

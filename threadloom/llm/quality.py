@@ -18,13 +18,13 @@ MOST_REPEATED = 20
 
 #: Leading bits of a value that its sketch cell keeps (a cell is at most 1/16 of its value wide).
 CELL_BITS = 5
-#: Groups of fewer messages are pooled with the other small groups of their language.
-LEAST_GROUP = 100
-#: Fences stand so many times the middle half beyond it.
+#: Messages of the whole language that each group borrows; they weigh less the more it has itself.
+BORROWED = 100
+#: Fences stand so many times the spread beyond the quartiles, and a text may show so many occurrences by chance.
 SPREAD = 3
 
-#: Adaptive metrics: (name, widening of both fences, whether there is a lower fence).
-METRICS = [("word_length", 300, True), ("symbol_rate", 100, False), ("dup_line_rate", 300, False), ("repeat_rate", 150, False)]
+#: Adaptive metrics: (name, whether there is a lower fence).
+METRICS = [("word_length", True), ("symbol_rate", False), ("dup_line_rate", False), ("repeat_rate", False)]
 
 
 def repeated_words(words: Column, window: int = REPEAT_WINDOW) -> Column:
@@ -95,36 +95,60 @@ def sketches(metrics: DataFrame) -> DataFrame:
     Sketches merge by adding the counts of equal cells, so the engine builds them on the map side
     and groups can be pooled; a sketch has some hundred cells at most.
     """
-    cells = F.array(*[F.struct(F.lit(k).alias("metric"), cell(F.col(k)).alias("cell")) for k, *_ in METRICS])
+    cells = F.array(*[F.struct(F.lit(k).alias("metric"), cell(F.col(k)).alias("cell")) for k, _ in METRICS])
     rows = metrics.where("not base_failed").select("lang", "dataset", F.inline(cells))
     return rows.groupBy("lang", "dataset", "metric", "cell").agg(F.count("*").alias("n"))
 
 
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """(lang, dataset, metric, q1, q3, spread): quartiles of a sketch; spread is the wider of q1 to q3 and q3 to the ninth decile."""
+    by = Window.partitionBy("lang", "dataset", "metric")
+    up_to = F.sum("n").over(by.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = sketch.withColumns({"_upto": up_to, "_all": F.sum("n").over(by)})
+    at = lambda k: F.min(F.when(F.col("_upto") * 20 >= F.col("_all") * k, F.col("cell")))
+    q = ranked.groupBy("lang", "dataset", "metric").agg(at(5).alias("q1"), at(15).alias("q3"), at(18).alias("q9"))
+    return q.select("lang", "dataset", "metric", "q1", "q3", F.greatest(F.col("q3") - F.col("q1"), F.col("q9") - F.col("q3")).alias("spread"))
+
+
 def fences(sketch: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, dataset, <metric>_lo, <metric>_hi): quartiles widened by SPREAD times the middle half.
+    """(_l, _d, <metric>_lo, <metric>_hi) of every group(lang, dataset, n): quartiles widened by SPREAD spreads.
 
-    groups(lang, dataset, n) has every group; those of fewer than LEAST_GROUP messages merge their
-    sketches with the other small ones of their language.
+    The numbers of a group are drawn towards the means of its language with the weight of BORROWED
+    messages, so they follow the group the closer the more messages it has, without a step; the
+    quartiles of the group itself always lie within its fences.
     """
-    pool = groups.select(F.col("lang").alias("_l"), F.col("dataset").alias("_d"), (F.col("n") < LEAST_GROUP).alias("pooled"))
-    own = F.when(~F.col("pooled"), F.col("dataset"))
-    same = F.col("lang").eqNullSafe(F.col("_l")) & F.col("dataset").eqNullSafe(F.col("_d"))
-    merged = sketch.join(pool, same).groupBy("lang", "pooled", own.alias("own"), "metric", "cell").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("lang", "pooled", "own", "metric")
-    up_to = F.sum("n").over(by.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.withColumns({"_upto": up_to, "_all": F.sum("n").over(by)})
-    at = lambda k: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * k, F.col("cell")))
-    q = ranked.groupBy("lang", "pooled", "own", "metric").agg(at(1).alias("q1"), at(3).alias("q3"))
+    size = groups.select(F.col("lang").alias("_l"), F.col("dataset").alias("_d"), "n")
+    own = quantiles(sketch).join(size, F.col("lang").eqNullSafe(F.col("_l")) & F.col("dataset").eqNullSafe(F.col("_d")))
+    parts = ("q1", "q3", "spread")
+    mean = own.groupBy(F.col("lang").alias("_lang"), F.col("metric").alias("_metric")).agg(
+        *[F.floor(F.try_divide(F.sum(F.col("n") * F.col(k)), F.sum("n"))).alias(f"_{k}") for k in parts]
+    )
+    both = own.join(mean, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric")))
+    drawn = {k: F.floor((F.col("n") * F.col(k) + BORROWED * F.col(f"_{k}")) / (F.col("n") + BORROWED)) for k in parts}
+    both = both.withColumns({f"{k}_": c for k, c in drawn.items()})
+    low = F.least("q1", "q1_") - SPREAD * F.col("spread_")
+    high = F.greatest("q3", "q3_") + SPREAD * F.col("spread_")
     cols = []
-    for name, slack, lower in METRICS:
+    for name, lower in METRICS:
         mine = lambda c, name=name: F.max(F.when(F.col("metric") == name, c))
-        reach = SPREAD * (F.col("q3") - F.col("q1")) + slack
-        cols.append(mine(F.col("q1") - reach if lower else F.lit(0).cast("long")).alias(f"{name}_lo"))
-        cols.append(mine(F.col("q3") + reach).alias(f"{name}_hi"))
-    table = q.groupBy(F.col("lang").alias("_l2"), F.col("pooled").alias("_p2"), "own").agg(*cols)
-    mine = F.when(~F.col("pooled"), F.col("_d"))
-    match = F.col("_l").eqNullSafe(F.col("_l2")) & (F.col("pooled") == F.col("_p2")) & mine.eqNullSafe(F.col("own"))
-    return pool.join(table, match, "left").drop("_l2", "_p2", "own", "pooled")
+        cols.append(mine(low if lower else F.lit(0).cast("long")).alias(f"{name}_lo"))
+        cols.append(mine(high).alias(f"{name}_hi"))
+    return both.groupBy("_l", "_d").agg(*cols)
+
+
+def chance() -> dict[str, Column]:
+    """What a text may lie beyond its group's fence by chance, in the units of the metric.
+
+    A rate of 0 still shows up to SPREAD occurrences in a text (each repeat is a window of words),
+    and the mean of n word lengths, which spread no wider than their mean, strays by its n-th root.
+    """
+    words = F.greatest("n_words", F.lit(1))
+    return {
+        "word_length": F.floor(SPREAD * F.col("word_length_hi") / F.sqrt(words)),
+        "symbol_rate": F.floor(1000 * SPREAD / words),
+        "dup_line_rate": F.floor(1000 * SPREAD / F.greatest("n_lines", F.lit(1))),
+        "repeat_rate": F.floor(1000 * SPREAD * REPEAT_WINDOW / words),
+    }
 
 
 def quality_rules(messages: DataFrame) -> DataFrame:
@@ -137,7 +161,8 @@ def quality_rules(messages: DataFrame) -> DataFrame:
     A message fails the base rules with fewer than 10 words, or with more than a fifth of its words
     in repeated 5-word windows.  For the others each lang and dataset has quantile sketches of word
     length, symbols, repeated lines and repeated words; a message is kept if every metric lies
-    within the fences of its group.  Metrics are written once; texts are never shuffled.
+    within the fences of its group, widened by what a text of its length shows by chance (the
+    columns have the widened ones).  Metrics are written once; texts are never shuffled.
 
     Null or empty text: no words, so the base rules fail.  Null lang and null dataset are groups of
     their own.  A group without a message that passes the base rules needs no fences.  Rows are
@@ -149,7 +174,10 @@ def quality_rules(messages: DataFrame) -> DataFrame:
     groups = sketch.where(F.col("metric") == METRICS[0][0]).groupBy("lang", "dataset").agg(F.sum("n").alias("n"))
     limits = materialize(fences(sketch, groups), "fences")
     same = F.col("lang").eqNullSafe(F.col("_l")) & F.col("dataset").eqNullSafe(F.col("_d"))
+    judged = rows.join(limits, same, "left").drop("_l", "_d")
+    wider = {f"{k}_hi": F.col(f"{k}_hi") + c for k, c in chance().items()}
+    judged = judged.withColumns(wider | {f"{k}_lo": F.col(f"{k}_lo") - chance()[k] for k, lower in METRICS if lower})
     ok = ~F.col("base_failed")
-    for name, *_ in METRICS:
+    for name, _ in METRICS:
         ok = ok & F.col(name).between(F.col(f"{name}_lo"), F.col(f"{name}_hi"))
-    return rows.join(limits, same, "left").drop("_l", "_d").withColumn("kept", F.coalesce(ok, F.lit(False)))
+    return judged.withColumn("kept", F.coalesce(ok, F.lit(False)))

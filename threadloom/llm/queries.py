@@ -173,26 +173,36 @@ f AS (
 cells AS (
   SELECT lang, source, k, v // (1::BIGINT << greatest(length(bin(v)) - 5, 0)::INT) * (1::BIGINT << greatest(length(bin(v)) - 5, 0)::INT) AS cell
   FROM (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([v1, v2, v3, v4]) AS v FROM f WHERE NOT base_failed)),
-grp AS (SELECT lang, source, count(*) < 100 AS pooled FROM f WHERE NOT base_failed GROUP BY ALL),
-sk AS (
-  SELECT c.lang, pooled, CASE WHEN NOT pooled THEN c.source END AS own, k, cell, count(*) AS n
-  FROM cells c JOIN grp g ON c.lang IS NOT DISTINCT FROM g.lang AND c.source IS NOT DISTINCT FROM g.source GROUP BY ALL),
+grp AS (SELECT lang, source, count(*)::DOUBLE AS size FROM f WHERE NOT base_failed GROUP BY ALL),
+sk AS (SELECT lang, source, k, cell, count(*) AS n FROM cells GROUP BY ALL),
 cum AS (
-  SELECT *, sum(n) OVER (PARTITION BY lang, pooled, own, k ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY lang, pooled, own, k) AS total FROM sk),
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, k ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY lang, source, k) AS total FROM sk),
 q AS (
-  SELECT lang, pooled, own, k, min(cell) FILTER (upto * 4 >= total) AS q1, min(cell) FILTER (upto * 4 >= total * 3) AS q3
+  SELECT lang, source, k, min(cell) FILTER (upto * 20 >= total * 5) AS q1, min(cell) FILTER (upto * 20 >= total * 15) AS q3,
+         min(cell) FILTER (upto * 20 >= total * 18) AS q9
   FROM cum GROUP BY ALL),
+own AS (
+  SELECT q.lang, q.source, k, size, q1, q3, greatest(q3 - q1, q9 - q3) AS spread
+  FROM q JOIN grp g ON q.lang IS NOT DISTINCT FROM g.lang AND q.source IS NOT DISTINCT FROM g.source),
+mean AS (
+  SELECT lang, k, floor(sum(size * q1) / sum(size)) AS m1, floor(sum(size * q3) / sum(size)) AS m3, floor(sum(size * spread) / sum(size)) AS ms
+  FROM own GROUP BY ALL),
+drawn AS (
+  SELECT own.*, floor((size * q1 + 100 * m1) / (size + 100)) AS d1, floor((size * q3 + 100 * m3) / (size + 100)) AS d3,
+         floor((size * spread + 100 * ms) / (size + 100)) AS ds
+  FROM own JOIN mean ON own.lang IS NOT DISTINCT FROM mean.lang AND own.k = mean.k),
 lim AS (
-  SELECT lang, pooled, own,
-         max(q1 - 3 * (q3 - q1) - 300) FILTER (k = 1) AS lo1, max(q3 + 3 * (q3 - q1) + 300) FILTER (k = 1) AS hi1,
-         max(q3 + 3 * (q3 - q1) + 100) FILTER (k = 2) AS hi2, max(q3 + 3 * (q3 - q1) + 300) FILTER (k = 3) AS hi3,
-         max(q3 + 3 * (q3 - q1) + 150) FILTER (k = 4) AS hi4
-  FROM q GROUP BY ALL)
+  SELECT lang, source, max(least(q1, d1) - 3 * ds) FILTER (k = 1) AS lo1, max(greatest(q3, d3) + 3 * ds) FILTER (k = 1) AS hi1,
+         max(greatest(q3, d3) + 3 * ds) FILTER (k = 2) AS hi2, max(greatest(q3, d3) + 3 * ds) FILTER (k = 3) AS hi3,
+         max(greatest(q3, d3) + 3 * ds) FILTER (k = 4) AS hi4
+  FROM drawn GROUP BY ALL),
+near AS (
+  SELECT f.*, lo1, hi1, hi2, hi3, hi4, floor(3 * hi1 / sqrt(greatest(n_words, 1))) AS c1, 3000 // greatest(n_words, 1) AS c2,
+         3000 // greatest(n_lines, 1) AS c3, 15000 // greatest(n_words, 1) AS c4
+  FROM f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT DISTINCT FROM lim.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(NOT base_failed AND v1 BETWEEN lo1 AND hi1 AND v2 <= hi2 AND v3 <= hi3 AND v4 <= hi4, false) AS kept
-FROM f LEFT JOIN grp g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source
-LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND g.pooled = lim.pooled
-     AND (CASE WHEN NOT g.pooled THEN f.source END) IS NOT DISTINCT FROM lim.own
+       coalesce(NOT base_failed AND v1 BETWEEN lo1 - c1 AND hi1 + c1 AND v2 <= hi2 + c2 AND v3 <= hi3 + c3 AND v4 <= hi4 + c4, false) AS kept
+FROM near
 """,
 )
 def op6(spark: SparkSession, sf: str) -> DataFrame:
