@@ -99,3 +99,21 @@ def test_link_components(spark):
     got = {r.node: r.comp for r in link_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 105: 100}
     assert link_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_other_keys_and_repeated_ids(spark):
+    """String ids, ids that conversations share, many null ids: texts alone decide."""
+    rng = random.Random(43)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    own = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))
+    near_copy = lambda: " ".join([*base[:59], f"x{rng.randrange(10**6)}"])
+    rows = [("d", "a", 0, "m0", " ".join(base)), ("d", "b", 0, "m0", near_copy()), ("d", "b", 1, "m1", own()), ("d", "c", 0, "m0", own())]
+    rows += [(None, None, None, None, near_copy() if k % 2 else own()) for k in range(10)]
+    rows += [(None, None, None, None, rows[4][4])] * 3
+    df = spark.createDataFrame(rows, "dataset string, conv_id string, pos int, msg_id string, text string").repartition(4)
+    got = near.near_duplicates(df).collect()
+    assert len(got) == 17 and sum(r.kept for r in got) == 11  # own: 2 + 5 and 3 more rows of one of them, one of all near copies
+    assert {r.component_id for r in got if r.msg_id == "m1"} == {"m1"} and {r.component_id for r in got if r.msg_id == "m0"} == {None, "m0"}
+    got = near.near_duplicates(df.where("conv_id is not null"), key=["dataset", "conv_id", "pos"]).collect()
+    by = {(r.conv_id, r.pos): (tuple(r.component_id), r.kept) for r in got}
+    assert by == {("a", 0): (("d", "a", 0), True), ("b", 0): (("d", "a", 0), False), ("b", 1): (("d", "b", 1), True), ("c", 0): (("d", "c", 0), True)}

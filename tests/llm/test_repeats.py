@@ -201,3 +201,44 @@ def test_a_bucket_gets_a_bounded_part_of_a_hot_minimiser(spark, monkeypatch):
         lone[r.part] += len(slices._unpack(r.hot, slices._HOT)["at"])
     assert max(held.values()) < 60 and sum(lone.values()) > 1000
     assert max(lone.values()) < sum(lone.values()) / 4
+
+
+@pytest.fixture(scope="module")
+def library_messages(spark):
+    """Messages as the sources give them: ids are strings that conversations share, some keys are null."""
+    rng = random.Random(41)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(40))
+    own = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(15))
+    rows = [("d", f"c{k}", pos, f"m{pos}", f"{passage} {own()}" if pos == 0 else own()) for k in range(4) for pos in range(3)]
+    rows += [(None, None, None, None, f"{passage} {own()}") for _ in range(4)]
+    return spark.createDataFrame(rows, "dataset string, conv_id string, pos int, msg_id string, text string").repartition(3)
+
+
+def test_messages_of_the_library(library_messages):
+    """Ids that repeat across conversations are different places: the passage stays at its first one alone."""
+    got = substrings.drop_repeated_passages(library_messages).collect()
+    assert len(got) == 16 and sorted(r.n_removed for r in got) == [0] * 9 + [40] * 7
+    kept = [r for r in got if r.n_words == 55 and not r.n_removed]
+    assert [r.conv_id for r in kept] == [None]  # nulls are first
+    ordered = library_messages.where("conv_id is not null")
+    got = {(r.conv_id, r.pos): r.n_removed for r in substrings.drop_repeated_passages(ordered).collect()}
+    assert {k for k, n in got.items() if n} == {("c1", 0), ("c2", 0), ("c3", 0)}
+    assert {(r.conv_id, r.pos) for r in suffixes.drop_repeated_strings(ordered).collect() if r.n_removed} == {("c1", 0), ("c2", 0), ("c3", 0)}
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)", "date"])
+def test_any_type_of_id(spark, kind):
+    rows = spark.createDataFrame(corpus(20, 50), "msg_id int, text string")
+    want = {r.msg_id: r.kept_text for r in substrings.drop_repeated_passages(rows).collect()}
+    as_kind = {"string": "lpad(msg_id, 5, '0')", "date": "date_add(date'2020-01-01', msg_id)"}.get(kind, f"cast(msg_id as {kind})")
+    got = substrings.drop_repeated_passages(rows.selectExpr(f"{as_kind} as msg_id", "text", "msg_id as number"))
+    assert dict(got.dtypes)["msg_id"] == kind and {r.number: r.kept_text for r in got.collect()} == want
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """A third of all rows without an id, each of its own text: all but one lose what they share."""
+    rng = random.Random(42)
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"{passage} " + " ".join(f"u{rng.random()}" for _ in range(12))) for k in range(60)]
+    got = substrings.drop_repeated_passages(spark.createDataFrame(rows, "msg_id long, text string")).collect()
+    assert Counter(r.n_removed for r in got) == {0: 1, 25: 59} and next(r.msg_id for r in got if not r.n_removed) is None

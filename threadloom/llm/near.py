@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.links import link_components
 from threadloom.llm.ragged import chunks, flat, mix, ranges, rolling, runs, split_words
-from threadloom.llm.slices import placed
+from threadloom.llm.slices import numbered, numbers_serve
 from threadloom.session import materialize
 
 #: Registers of a sketch (a power of two), bits of their mantissa, and registers of a band.
@@ -298,10 +298,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def near_duplicates(messages: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(messages: DataFrame, shingle: int = 5, percent: int = 80, key: list[str] | None = None) -> DataFrame:
     """Components of messages whose shingle sets are similar.
 
-    messages(msg_id, text, ...) -> msg_id, n_shingles, component_id, kept.
+    messages(msg_id, text, ...) -> msg_id, n_shingles, component_id, kept.  ``key`` names messages
+    otherwise, as by ["dataset", "conv_id", "pos"]: those columns come instead of msg_id, and
+    component_id is a struct of them.
 
     Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased; a message's set has its distinct
     shingles of ``shingle`` words (with fewer words: the whole sequence).  Two messages are linked
@@ -315,11 +317,30 @@ def near_duplicates(messages: DataFrame, shingle: int = 5, percent: int = 80) ->
        by their registers, block by block, and confirm likely pairs there on the full sets.
     A pair of similarity 0.8 shares no band with a chance of 3e-6, less above.
 
-    Null or empty text, or no word: empty set, linked with nothing, kept.  A null ``msg_id`` is
-    the smallest id.  Rows that repeat a ``msg_id`` are one message: the links of each hold.
-    Other columns are not kept.  An empty table gives an empty result.
+    Null or empty text, or no word: empty set, linked with nothing, kept.  A key has any type, a null
+    is the smallest.  Rows that repeat a key are told apart by their text: each is compared by
+    itself, ordered by a hash of the text; rows of one key and one text are one message.  A message
+    is kept if it is the first of its component.  Other columns are not kept.  An empty table gives
+    an empty result.
     """
-    rows = placed(messages.select("msg_id", "text")).select(F.col("at").alias("_at"), "row.text")
+    key = key or ["msg_id"]
+    if numbers_serve(messages, key):
+        nothing = F.lit(-(2**63))
+        mine = F.col(f"`{key[0]}`")
+        found = _components(messages.select(F.coalesce(mine.cast("long"), nothing).alias("_at"), "text"), shingle, percent)
+        known = lambda c: F.nullif(F.col(c), nothing).cast(messages.schema[key[0]].dataType)
+        return found.select(known("_at").alias(key[0]), "n_shingles", known("_first").alias("component_id"), "kept")
+    rows = materialize(numbered(messages.select(*key, "text"), key), "placed")
+    once = materialize(rows.groupBy("at").agg(F.first("row").alias("row")), "once")
+    found = materialize(_components(once.select(F.col("at").alias("_at"), "row.text"), shingle, percent), "found")
+    name = F.col(f"row.`{key[0]}`") if len(key) == 1 else F.struct(*[F.col(f"row.`{c}`") for c in key])
+    out = found.join(once.select(F.col("at").alias("_first"), name.alias("component_id")), "_first")
+    out = out.join(rows, F.col("_at") == F.col("at"))
+    return out.select(*[F.col(f"row.`{c}`") for c in key], "n_shingles", "component_id", "kept")
+
+
+def _components(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(_at, text) of one row a message -> (_at, n_shingles, _first, kept)."""
     least = percent / 100 - SLACK
     sketch = materialize(sketches(rows, shingle), "sketches")
     filled = sketch.where("n_shingles > 0")
@@ -340,5 +361,4 @@ def near_duplicates(messages: DataFrame, shingle: int = 5, percent: int = 80) ->
     led = led.select("set_hi", "set_lo", "n_shingles", F.coalesce("comp", "rep").alias("_comp"))
     out = sketch.drop("registers").join(led, ["set_hi", "set_lo", "n_shingles"], "left")
     first = F.coalesce("_comp", "_at")
-    known_id = lambda c: F.nullif(c, F.lit(-(2**63)))
-    return out.select(known_id(F.col("_at")).alias("msg_id"), "n_shingles", known_id(first).alias("component_id"), (first == F.col("_at")).alias("kept"))
+    return out.select("_at", "n_shingles", first.alias("_first"), (first == F.col("_at")).alias("kept"))

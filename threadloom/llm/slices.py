@@ -8,22 +8,29 @@ once.  A bucket works out which windows also start earlier and says so as spans
 A minimiser with more than ``HOT_BYTES`` of slices is hot: its windows are dealt one by one, by a
 128-bit digest of the whole window, so equal ones still meet and no bucket holds a hot minimiser.
 
-A place is (``at``, ``tag``, ``start``): the message id (a null id counts as one id, before all
-others), a hash of the text that tells apart rows which repeat an id, and the first unit.
+A place is (``at``, ``tag``, ``start``): the message's number in the order of its key (:func:`placed`),
+a hash of its text, and the first unit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from threadloom.llm.ragged import chunks, flat, ranges, runs, sliding_min
+from threadloom.session import materialize
+
+#: Columns that together name a message of the library.
+KEY = ["dataset", "conv_id", "pos"]
 
 #: Bytes of text, before packing, whose slices one bucket gets on average.
 BUCKET_BYTES = 8_000_000
@@ -61,11 +68,48 @@ Settle = Callable[[list[bytes], dict], dict]
 Single = Callable[[bytes], list[bytes]]
 
 
+def key_of(messages: DataFrame) -> list[str]:
+    """The columns that name a message: (dataset, conv_id, pos) where all three are there, else msg_id."""
+    return KEY if set(KEY) <= set(messages.columns) else ["msg_id"]
+
+
+def numbers_serve(messages: DataFrame, key: list[str]) -> bool:
+    """Whether the key is one column of whole numbers that no two rows share (a null is a value too)."""
+    if len(key) > 1 or not isinstance(messages.schema[key[0]].dataType, IntegralType):
+        return False
+    return messages.groupBy(F.col(f"`{key[0]}`").alias("k")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def numbered(messages: DataFrame, key: list[str]) -> DataFrame:
+    """(at, row): messages in the order of ``key`` (nulls first), rows of one key by a hash of their text; equal ones share a number.
+
+    Only keys and hashes are sorted: ranges of them over all tasks, each task numbers its own.  The
+    numbers are written before the texts meet them, so a repeated task sees the same ones.
+    """
+    named = [f"k{i}" for i in range(len(key) + 1)]
+    by = [F.col(f"`{c}`") for c in key] + [F.xxhash64(F.coalesce("text", F.lit("")))]
+    order = [F.col(c).asc_nulls_first() for c in named]
+    keys = messages.select(*[c.alias(n) for c, n in zip(by, named, strict=True)]).distinct()
+    keys = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("at"))
+    rows = messages.select(F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"), *[c.alias(f"m{n}") for c, n in zip(by, named, strict=True)])
+    same = [F.col(n).eqNullSafe(F.col(f"m{n}")) for n in named]
+    return rows.join(materialize(keys, "keys"), reduce(and_, same)).select("at", "row")
+
+
 def placed(messages: DataFrame) -> DataFrame:
-    """(at, tag, row): the place of a message, and all its columns as one struct, so that no name clashes."""
-    at = F.coalesce(F.col("msg_id").cast("long"), F.lit(-(2**63)))
-    tag = F.pmod(F.hash(F.coalesce("text", F.lit(""))), F.lit(1 << 15))
-    return messages.select(at.alias("at"), tag.alias("tag"), F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"))
+    """(at, tag, row): the place of a message, and all its columns as one struct, so that no name clashes.
+
+    A column of whole numbers without a repetition is the place itself (null: before all others).
+    Any other key, of any type and however often it repeats, is numbered in its order and written.
+    """
+    key = key_of(messages)
+    if numbers_serve(messages, key):
+        at = F.coalesce(F.col("msg_id").cast("long"), F.lit(-(2**63)))
+        rows = messages.select(at.alias("at"), F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"))
+    else:
+        rows = materialize(numbered(messages, key), "placed")
+    tag = F.pmod(F.hash(F.coalesce("row.text", F.lit(""))), F.lit(1 << 15))
+    return rows.select("at", tag.alias("tag"), "row")
 
 
 def buckets_for(messages: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:

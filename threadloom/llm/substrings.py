@@ -23,15 +23,16 @@ def drop_repeated_passages(messages: DataFrame, window: int = WINDOW, minimiser:
     messages(msg_id, text, ...) -> the same columns and ``n_words``, ``n_removed`` (BIGINT),
     ``kept_text`` (the kept words joined by one blank).
 
-    Words are runs of ``[^\\x20\\x09-\\x0D]``, compared byte by byte.  Earlier: smaller ``msg_id``,
-    or the same message and an earlier word; windows are judged on the input.  Consecutive windows
+    Words are runs of ``[^\\x20\\x09-\\x0D]``, compared byte by byte.  Earlier: smaller key
+    (``dataset, conv_id, pos`` where the messages have them, else ``msg_id``, of any type; nulls
+    first), or the same message and an earlier word; windows are judged on the input.  Consecutive windows
     with one minimiser form a super-k-mer that goes to the minimiser's bucket as one packed string;
     the bucket sorts the windows and compares the equal ones byte by byte.  Windows of a minimiser
     that is too common for one bucket are dealt one by one and compared by 128-bit digests.
 
-    Null or empty text: no words, ``kept_text`` is empty.  A null ``msg_id`` comes before all
-    others.  Rows that repeat a ``msg_id`` stand at the same place and do not remove each other's
-    words where they start at the same word.  An empty table gives an empty result.
+    Null or empty text: no words, ``kept_text`` is empty.  Rows that repeat a key are ordered by a
+    hash of their text; rows of one key and one text stand at the same place and do not remove each
+    other's words where they start at the same word.  An empty table gives an empty result.
     """
     rows = placed(messages.drop("n_words", "n_removed", "kept_text"))
     parts = buckets_for(rows)
