@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -242,3 +243,34 @@ def test_repeated_ids_with_different_texts(spark):
     rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"{passage} " + " ".join(f"u{rng.random()}" for _ in range(12))) for k in range(60)]
     got = substrings.drop_repeated_passages(spark.createDataFrame(rows, "msg_id long, text string")).collect()
     assert Counter(r.n_removed for r in got) == {0: 1, 25: 59} and next(r.msg_id for r in got if not r.n_removed) is None
+
+
+@pytest.mark.parametrize("size", [150, 1_000])
+def test_long_texts_are_cut_in_pieces_that_lose_no_window(size):
+    rng = random.Random(size)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)).encode() for n in (3, 700, 0, 20, 19, 2_000, 25)] + [b" \n " * 400, b"x" * 3_000, b" lead " + b"ha " * 900]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    def units(cut, single):
+        s = cut(raw, off)
+        assert all(n == len(single(x)) for x, n in zip(s.text, s.n.tolist(), strict=True))
+        return [(r, a + k, w) for x, r, a in zip(s.text, s.row.tolist(), s.start.tolist(), strict=True) for k, w in enumerate(single(x))]
+
+    for cut, split, single in (
+        (lambda a, b: substrings.super_kmers(a, b, 20, 4), lambda t, n: substrings.word_pieces(t, n, 20), lambda s: substrings.single_windows(s, 20)),
+        (lambda a, b: suffixes.cut_bytes(a, b, 100, 16), lambda t, n: suffixes.byte_pieces(t, n, 100), lambda s: [s[k : k + 100] for k in range(len(s) - 99)]),
+    ):
+        assert units(slices.in_pieces(cut, split, size), single) == units(cut, single)
+
+
+def test_arrays_of_a_long_text_stay_small():
+    text = np.frombuffer(random.Random(1).randbytes(16_000_000), np.uint8)
+    cut = slices.in_pieces(lambda raw, off: suffixes.cut_bytes(raw, off, 100, 16), lambda t, n: suffixes.byte_pieces(t, n, 100))
+    tracemalloc.start()
+    try:
+        s = cut(text, np.array([0, len(text)]))
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert s.n.sum() == len(text) - 99
+    assert peak - held < 200_000_000  # whole: more than 50 bytes of arrays for each byte of text

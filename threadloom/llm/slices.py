@@ -15,7 +15,7 @@ a hash of its text, and the first unit.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from hashlib import blake2b
 from operator import and_
@@ -39,6 +39,8 @@ BUCKET_BYTES = 8_000_000
 HOT_BYTES = 8_000_000
 HOT_SAMPLE = 16
 HOT_TEXT = 1 << 20
+#: Bytes of text that are cut at a time; a longer text goes in pieces that overlap by a window less one unit.
+PIECE_BYTES = 1 << 20
 
 _PACKED = "part int, text binary, places binary, gone binary, hot binary"
 _SPANS = "at bigint, tag int, start int, stop int"
@@ -62,6 +64,8 @@ class Slices:
 
 #: cut(raw, offsets) -> slices of the windows of these texts
 Cut = Callable[[np.ndarray, np.ndarray], Slices]
+#: split(text, piece bytes) -> (first unit, first byte, end) of overlapping pieces; each window starts in one of them
+Split = Callable[[np.ndarray, int], list[tuple[int, int, int]]]
 #: settle(slices, places) -> spans of windows that also start earlier
 Settle = Callable[[list[bytes], dict], dict]
 #: single(slice) -> its windows
@@ -131,6 +135,32 @@ def minimiser_runs(grams: np.ndarray, width: int, valid: np.ndarray):
     return valid[s], n, value[s].astype(np.uint32), low[s] != low[s + n - 1]
 
 
+def in_pieces(cut: Cut, split: Split, size: int | None = None) -> Cut:
+    """``cut`` over about ``size`` bytes at a time, so that its arrays are as small for a text of any length."""
+    limit = size or PIECE_BYTES
+
+    def work(raw: np.ndarray, off: np.ndarray) -> Slices:
+        done, at, last = [], 0, len(off) - 1
+        while at < last:
+            if off[at + 1] - off[at] > limit:
+                text = raw[off[at] : off[at + 1]]
+                stop, todo = at + 1, [(first, text[a:b], np.array([0, b - a])) for first, a, b in split(text, limit)]
+            else:
+                stop = int(np.searchsorted(off, off[at] + limit, side="right")) - 1
+                todo = [(0, raw[off[at] : off[stop]], off[at : stop + 1] - off[at])]
+            for first, data, ends in todo:
+                s = cut(data, ends)
+                if s.text:
+                    done.append(replace(s, row=s.row + at, start=s.start + first))
+            at = stop
+        if not done:
+            return Slices([], *(np.zeros(0, np.int64),) * 5)
+        arrays = {k: np.concatenate([getattr(s, k) for s in done]) for k in ("row", "start", "n", "low", "multi")}
+        return Slices([x for s in done for x in s.text], **arrays)
+
+    return work
+
+
 def hot_minimisers(messages: DataFrame, cut: Cut) -> np.ndarray:
     """Minimisers whose slices, once for each task that holds them, have more than ``HOT_BYTES``.
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from threadloom.llm.ragged import chunks, flat, mix, ranges, rolling, runs, split_words
-from threadloom.llm.slices import Slices, buckets_for, deal, later_windows, merged, minimiser_runs, placed, settle, spans_of, unpacked, with_spans
+from threadloom.llm.ragged import BLANK, chunks, flat, mix, ranges, rolling, runs, split_words
+from threadloom.llm.slices import Slices, buckets_for, deal, in_pieces, later_windows, merged, minimiser_runs, placed, settle, spans_of, unpacked, with_spans
 
 #: Words of a window and of the minimiser that deals it.
 WINDOW = 20
@@ -36,7 +36,8 @@ def drop_repeated_passages(messages: DataFrame, window: int = WINDOW, minimiser:
     """
     rows = placed(messages.drop("n_words", "n_removed", "kept_text"))
     parts = buckets_for(rows)
-    dealt = deal(rows, lambda raw, off: super_kmers(raw, off, window, minimiser), window, parts, lambda s: single_windows(s, window))
+    cut = in_pieces(lambda raw, off: super_kmers(raw, off, window, minimiser), lambda text, size: word_pieces(text, size, window))
+    dealt = deal(rows, cut, window, parts, lambda s: single_windows(s, window))
     return _keep(with_spans(rows, settle(dealt, lambda text, place: _windows(text, place, window), window, parts)))
 
 
@@ -53,6 +54,17 @@ def super_kmers(raw: np.ndarray, off: np.ndarray, window: int, minimiser: int) -
     return Slices(text, row, at - w.first[row], n, low, multi)
 
 
+def word_pieces(text: np.ndarray, size: int, window: int) -> list[tuple[int, int, int]]:
+    """(first word, first byte, end) of pieces of about ``size`` bytes that overlap by ``window - 1`` words."""
+    inside = np.concatenate([[False], ~BLANK[text], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    first = np.unique(np.searchsorted(start, np.arange(0, len(text), size)))
+    first = first[first <= len(start) - window]
+    stop = np.append(first, len(start))[1:]
+    return [(a, int(start[a]), int(end[min(b + window - 2, len(end) - 1)])) for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+
+
 def single_windows(piece: bytes, window: int) -> list[bytes]:
     words = piece.split(b" ")
     return [b" ".join(words[k : k + window]) for k in range(len(words) - window + 1)]
