@@ -21,6 +21,9 @@ MAX_LANGS = 512
 #: Grams of a segment, the unit that the mixture gives to one language.
 SEGMENT = 24
 ROUNDS = 12
+#: Numbers (segments x languages) and characters of text that a task works on at a time; one text is never split.
+CELLS = 1 << 22
+GROUP_CHARS = 1 << 20
 #: Pseudo-observations of the pooled distribution in each language.
 PRIOR = 2000.0
 #: Weight of a further language, in units of log(segments).
@@ -89,6 +92,29 @@ def _fit(log: np.ndarray, row: np.ndarray, start: np.ndarray, allowed: np.ndarra
     return share, np.add.reduceat(total, start)
 
 
+def segment_sums(log: np.ndarray, bucket: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Log likelihood of each segment (one column a language), gathered over about CELLS numbers at a time."""
+    out = np.empty((len(start), log.shape[1]))
+    many = max(1, CELLS // (SEGMENT * log.shape[1]))
+    for a in range(0, len(start), many):
+        stop = start[a + many] if a + many < len(start) else len(bucket)
+        out[a : a + many] = np.add.reduceat(log[bucket[start[a] : stop]], start[a : a + many] - start[a], axis=0)
+    return out
+
+
+def grouped(texts: list[str | None], wide: int) -> Iterator[list[str | None]]:
+    """Texts in order, so many at a time that their segments have about CELLS numbers for ``wide`` languages."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size * max(wide, 1) >= CELLS * SEGMENT or size >= GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def mixtures(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of all languages before, and of the selected ones after, selection (one row a text).
 
@@ -103,7 +129,7 @@ def mixtures(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarr
     first = np.searchsorted(row, row)
     seg = (np.arange(len(row)) - first) // SEGMENT
     s = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (seg[1:] != seg[:-1])))
-    log = np.add.reduceat(model["log"][bucket], s, axis=0).astype(np.float64)
+    log = segment_sums(model["log"], bucket, s)
     text = row[s]
     start = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
     ids, at = text[start], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(text))))
@@ -146,7 +172,8 @@ def identify_languages(messages: DataFrame, model: dict) -> DataFrame:
         langs = model["langs"]
         for t in chunks(batches):
             texts = t["text"].to_pylist()
-            full, chosen = mixtures(texts, model)
+            parts = [mixtures(some, model) for some in grouped(texts, len(langs))]
+            full, chosen = (np.concatenate(x) for x in zip(*parts, strict=True))
             pred, score, mixed = [], [], []
             for text, f, c in zip(texts, full, chosen, strict=True):
                 if not len(c) or not c.any():
