@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.operators.graph import by_size, hop_closure, keyed_schema
 from threadloom.operators.ordered import last_before
 from threadloom.schema import CONV
-from threadloom.session import materialize
+from threadloom.session import intermediates, materialize, release
 
 
 def chains(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = tuple(CONV), limit: int | None = None) -> DataFrame:
@@ -87,21 +87,21 @@ def fixed_point(edges: DataFrame, proposals: DataFrame, rounds: int = 3) -> Data
 # ---------------------------------------------------------------- pruning around sure edges
 
 
-def anchor_prune(nodes: DataFrame, scored: DataFrame, tau_hi: float = 0.70, tau_lo: float = 0.45) -> DataFrame:
+def anchor_prune(nodes: DataFrame, scored: DataFrame, tau_hi: float = 0.70, tau_lo: float = 0.45, limit: int | None = None) -> DataFrame:
     """Keep edges around sure ones.
 
     Edges at ``tau_hi`` are anchors, edges at ``tau_lo`` are kept, a message without any keeps its
     best.  From every anchor the search runs down from its child and up from its parent; a message
     not met whose best score stays below ``tau_hi`` becomes a root.  Without anchors in a
-    conversation nothing is pruned.
+    conversation nothing is pruned.  Conversations above ``limit`` messages are searched by joins.
     """
     scored = materialize(scored.select(*CONV, "i", "c", "score"), "scored")
     best = scored.groupBy(*CONV, "i").agg(F.max("score").alias("top"), F.max_by("c", F.struct(F.col("score"), -F.col("c"))).alias("arg"))
     rows = scored.where(F.col("score") >= tau_lo).select(*CONV, "i", "c").unionByName(best.where(F.col("top") < tau_lo).select(*CONV, "i", F.col("arg").alias("c")))
     edges = materialize(rows.select(*CONV, F.col("i").alias("child"), F.col("c").alias("parent")), "prune")
     anchors = materialize(scored.where(F.col("score") >= tau_hi).select(*CONV, F.col("i").alias("child"), F.col("c").alias("parent")), "anchors")
-    down = reach(nodes, anchors.select(*CONV, F.col("child").alias("pos")), edges.select(*CONV, F.col("parent").alias("pos"), F.col("child").alias("to")))
-    up = reach(nodes, anchors.select(*CONV, F.col("parent").alias("pos")), edges.select(*CONV, F.col("child").alias("pos"), F.col("parent").alias("to")))
+    down = reach(nodes, anchors.select(*CONV, F.col("child").alias("pos")), edges.select(*CONV, F.col("parent").alias("pos"), F.col("child").alias("to")), limit)
+    up = reach(nodes, anchors.select(*CONV, F.col("parent").alias("pos")), edges.select(*CONV, F.col("child").alias("pos"), F.col("parent").alias("to")), limit)
     met = down.unionByName(up).distinct()
     weak = best.where(F.col("top") < tau_hi).select(*CONV, F.col("i").alias("child"))
     weak = weak.join(anchors.select(*CONV).distinct(), CONV, "left_semi")
@@ -132,13 +132,39 @@ def _met(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _spread_reach(seeds: DataFrame, steps: DataFrame) -> DataFrame:
-    """One round per hop; only new nodes go on."""
-    seen = front = materialize(seeds.distinct(), "reach")
-    while not front.isEmpty():
-        nxt = front.join(steps, [*CONV, "pos"]).select(*CONV, F.col("to").alias("pos")).distinct()
-        front = materialize(nxt.join(seen, [*CONV, "pos"], "left_anti"), "reach")
+    """As :func:`reach`, by joins; a chain of n steps takes about log2(n) rounds.
+
+    In each round met nodes hand on along one step; steps into met nodes and steps out of nodes that
+    nothing leads to are dropped; and a step whose start has a single way in moves to that way's
+    start, as both are met together or not at all.  So chains halve, and side branches that no
+    seed leads to fall off; only nodes with several open ways in are walked hop by hop.
+    """
+    spark, into = steps.sparkSession, [*CONV, "to"]
+    seen = front = materialize(seeds.select(*CONV, "pos").distinct(), "reach")
+    with intermediates() as held:
+        rest = steps.select(*CONV, "pos", "to").where("pos <> to").distinct()
+        rest = materialize(rest.join(seen.withColumnRenamed("pos", "to"), into, "left_anti"), "steps")
+    while True:
+        front = materialize(rest.join(front, [*CONV, "pos"]).select(*CONV, F.col("to").alias("pos")).distinct(), "reach")
+        if front.isEmpty():
+            release(spark, held)
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        with intermediates() as kept:
+            rest = materialize(_contracted(rest, front), "steps")
+        release(spark, held)
+        held = kept
+
+
+def _contracted(steps: DataFrame, met: DataFrame) -> DataFrame:
+    """Steps into nodes that are not met, each from the first node of the chain piece that leads to it."""
+    on = [*CONV, "pos"]
+    left = steps.join(met.withColumnRenamed("pos", "to"), [*CONV, "to"], "left_anti")
+    ways = left.groupBy(*CONV, F.col("to").alias("pos")).agg(F.count("*").alias("_n"), F.min("pos").alias("_from"))
+    # a met node has no open way in, so each node is in one of the two tables at most
+    starts = ways.unionByName(met.select(*on, F.lit(0).cast("long").alias("_n"), F.lit(None).cast("long").alias("_from")))
+    moved = left.join(starts, on).select(*CONV, F.when(F.col("_n") == 1, F.col("_from")).otherwise(F.col("pos")).alias("pos"), "to")
+    return moved.where("pos <> to").distinct()
 
 
 # ---------------------------------------------------------------- tracing

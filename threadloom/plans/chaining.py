@@ -79,8 +79,7 @@ def w26(spark, sf):
     return got.select(*CONV, F.col("node").alias("child"), F.when(F.col("bad"), F.col("node") - 1).otherwise(F.col("up")).alias("parent"))
 
 
-@query(
-    "g09_anchor_prune",
+PRUNE = (
     MP.replace("WITH ", "WITH RECURSIVE ", 1).replace("pairs AS (", "pairs AS MATERIALIZED (", 1).replace("  sc AS (", "  sc AS MATERIALIZED (", 1)
     + """, b AS MATERIALIZED (SELECT dataset, conv_id, i, max(score) AS top, arg_min(c, (-score, c)) AS arg FROM sc GROUP BY ALL),
   e AS MATERIALIZED (SELECT dataset, conv_id, i AS child, c AS parent FROM sc WHERE score >= 0.45 UNION ALL SELECT dataset, conv_id, i, arg FROM b WHERE top < 0.45),
@@ -89,12 +88,20 @@ def w26(spark, sf):
   upw AS (SELECT conv_id, parent AS x FROM a UNION SELECT upw.conv_id, e.parent FROM upw JOIN e ON upw.conv_id = e.conv_id AND upw.x = e.child),
   met AS (SELECT * FROM dn UNION SELECT * FROM upw),
   lost AS (SELECT conv_id, i FROM b WHERE top < 0.7 AND conv_id IN (SELECT conv_id FROM a) AND NOT EXISTS (SELECT 1 FROM met WHERE met.conv_id = b.conv_id AND met.x = b.i))
-  SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM lost WHERE lost.conv_id = e.conv_id AND lost.i = e.child)""",
+  SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM lost WHERE lost.conv_id = e.conv_id AND lost.i = e.child)"""
 )
+
+
+@query("g09_anchor_prune", PRUNE)
 def g09(spark, sf):
     return ch.anchor_prune(t.messages(spark, sf), event_pairs(spark, sf))
 
 
+@query("g09_anchor_prune_spread", PRUNE)
+def g09_spread(spark, sf):
+    return ch.anchor_prune(t.messages(spark, sf), event_pairs(spark, sf), limit=0)
+
+
 TRACE = MO + """, q AS (SELECT conv_id || '#' || pos AS query_id, m.* FROM msgs m WHERE pos = (SELECT max(pos) FROM msgs x WHERE x.conv_id = m.conv_id)),
   up AS (SELECT query_id, dataset, conv_id, pos, 0 AS hop FROM q UNION ALL SELECT u.query_id, u.dataset, u.conv_id, g.parent, u.hop + 1 FROM up u JOIN one g ON u.conv_id = g.conv_id AND u.pos = g.child WHERE u.hop < 10),
   k1 AS (SELECT DISTINCT u.query_id, u.dataset, u.conv_id, g.child AS pos FROM up u JOIN one g ON u.conv_id = g.conv_id AND u.pos = g.parent WHERE g.child - g.parent < 100 AND (u.query_id, g.child) NOT IN (SELECT (query_id, pos) FROM up)),
